@@ -31,15 +31,18 @@ def terms(text: Column | str) -> Column:
 
 
 def sentences(text: Column | str) -> Column:
-    parts = F.transform(F.split(_c(text), SENTENCE_SPLIT), F.trim)
+    parts = F.transform(F.split(_c(text), SENTENCE_SPLIT), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
-def shingles(text: Column | str, n: int) -> Column:
-    """Distinct n-term shingles; a shorter text is one shingle of all its terms."""
-    t = terms(text)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(t, i, n), " "),
-    )
-    return F.when(F.size(t) > 0, F.array_distinct(windows))
+def shingle_hashes(text: Column | str, n: int) -> Column:
+    """Hashes of the distinct n-term shingles; a shorter text is one shingle of all its terms."""
+
+    def windows(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(t, i, n)))
+        return F.when(F.size(t) > 0, F.array_distinct(hashed))
+
+    # The outer transform binds the terms once; inlined into the inner lambda
+    # the text would be split again for every shingle.
+    return F.transform(F.array(terms(text)), windows)[0]

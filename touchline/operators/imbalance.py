@@ -143,7 +143,7 @@ CLASSIFIERS = ("svm", "logistic", "forest")
 def _learner(kind: str, weight: str, seed: int):
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": weight}
     if kind == "svm":
-        return LinearSVC(maxIter=20, regParam=0.01, **common)
+        return LinearSVC(maxIter=10, regParam=0.01, **common)
     if kind == "logistic":
         return LogisticRegression(maxIter=20, regParam=0.01, **common)
     return RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common)
@@ -174,10 +174,12 @@ def score_classifier(model: Model, df: DataFrame, columns: Sequence[str]) -> Dat
 def classify(train: DataFrame, test: DataFrame, columns: Sequence[str], kinds: Sequence[str] = CLASSIFIERS) -> DataFrame:
     """Test rows scored by each classifier, long by `model`."""
     out = None
+    train = train.persist()  # read once per pass of each fit
     for kind in kinds:
         scored = score_classifier(fit_classifier(train, columns, kind), test, columns)
         scored = scored.withColumn("model", F.lit(kind))
         out = scored if out is None else out.unionByName(scored)
+    train.unpersist()
     return out
 
 

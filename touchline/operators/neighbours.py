@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from touchline.session import PAIR_ROWS, setting
 
-PIVOTS = 64
+MAX_PIVOTS = 256
 _STEP = 512
 
 
@@ -52,7 +52,10 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """`df`: id long, features array<double>. Returns id, neighbour, distance, rank 1..k."""
     spark = df.sparkSession
     block_rows = setting(spark, PAIR_ROWS)
-    picked = df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(PIVOTS).select("features").collect()
+    n = df.count()
+    n_pivots = min(MAX_PIVOTS, max(1, n // block_rows))
+    by_hash = df.orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    picked = by_hash.limit(n_pivots).select("features").collect()
     pivots = np.array([r["features"] for r in picked])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,17 +70,20 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
         assign, "id long, features array<double>, cell int, to_pivot double"
     )
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius"))
-    stats = {r["cell"]: (-(-r["n"] // block_rows), r["radius"]) for r in cells.collect()}  # <= PIVOTS rows
+    stats = {r["cell"]: (-(-r["n"] // block_rows), r["radius"]) for r in cells.collect()}  # <= MAX_PIVOTS rows
     blocks = F.element_at(F.create_map(*[F.lit(v) for c, (b, _) in stats.items() for v in (c, b)]), F.col("cell"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + 1)), blocks).cast("int"))
 
     result = "id long, neighbour long, distance double"
+    best_first = W.partitionBy("id").orderBy("distance", "neighbour")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(), np.stack(pdf["features"].to_numpy())
         return _best(ids, x, ids, x, k)
 
     near = rows.groupBy("cell", "block").applyInPandas(within, result)
+    if len(stats) == 1 and stats[next(iter(stats))][0] == 1:
+        return near.withColumn("rank", F.row_number().over(best_first))
     bound = near.groupBy("id").agg(F.count("*").alias("_n"), F.max("distance").alias("_d"))
     bounded = rows.join(
         bound.select("id", F.when(F.col("_n") >= k, F.col("_d")).alias("bound")), "id", "left"
@@ -106,11 +112,11 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
                     }
                 )
 
-    # Many rows may want one block: they are spread over salts of a bounded share.
-    n_blocks = sum(b for b, _ in stats.values())
-    salts = F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))
+    # All rows may want one block: they are spread over salts of a bounded share.
+    n_salts = n // (16 * block_rows) + 1
+    salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
     asking = bounded.mapInPandas(route, wanted).withColumn(
-        "salt", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(max(n_blocks, 1))).cast("int")
+        "salt", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(n_salts)).cast("int")
     )
     holding = rows.select(
         F.col("cell").alias("to_cell"), F.col("block").alias("to_block"), "id", "features",
@@ -127,9 +133,8 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
     keys = ["to_cell", "to_block", "salt"]
     far = asking.groupBy(*keys).cogroup(holding.groupBy(*keys)).applyInPandas(across, result)
-    w = W.partitionBy("id").orderBy("distance", "neighbour")
     return (
         near.unionByName(far)
-        .withColumn("rank", F.row_number().over(w))
+        .withColumn("rank", F.row_number().over(best_first))
         .filter(F.col("rank") <= k)
     )

@@ -94,7 +94,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def toxic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedded rows with a binary label: label 0 against the rest."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
