@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from touchline.functions.clock import DAY_US, micros
 from touchline.operators.skew import HALO, plan_chunks, with_halo
 
-_TS, _SIDE, _LEFT, _RIGHT = "_us", "_side", "_left", "_right"
+_TS, _SIDE = "_us", "_side"
 
 
 def asof_join(
@@ -21,42 +21,36 @@ def asof_join(
     left_ts: str,
     right_ts: str,
     grain: int = DAY_US,
+    cold: bool = False,
 ) -> DataFrame:
     """Left rows with the columns of the last earlier right row of the same keys.
 
-    One union and one window, so one shuffle. A left row sorts before right
+    One union and one window, so one shuffle, and the result stays partitioned
+    by the keys for windows that follow. A left row sorts before right
     rows of the same time and so never sees them. Of right rows with an equal
     time the greatest one wins.
     """
     keys = list(keys)
-    value_columns = [c for c in right.columns if c not in keys]
-    clash = set(value_columns) & set(left.columns)
+    values = [c for c in right.columns if c not in keys]
+    clash = set(values) & set(left.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    lefts = left.select(
-        *keys,
-        micros(left_ts).alias(_TS),
-        F.lit(0).alias(_SIDE),
-        F.struct(*left.columns).alias(_LEFT),
-    )
-    rights = right.select(
-        *keys,
-        micros(right_ts).alias(_TS),
-        F.lit(1).alias(_SIDE),
-        F.struct(*value_columns).alias(_RIGHT),
-    )
+    lefts = left.withColumns({_TS: micros(left_ts), _SIDE: F.lit(0)})
+    rights = right.withColumns({_TS: micros(right_ts), _SIDE: F.lit(1)})
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    chunks = plan_chunks(both, keys, _TS, grain)
-    rows = with_halo(both, chunks, [_RIGHT], 1, source=F.col(_SIDE) == 1)
+    chunks = plan_chunks(both, keys, _TS, grain, cold)
+    is_right = F.col(_SIDE) == 1
+    rows = with_halo(both, chunks, [_SIDE, *values], 1, source=is_right)
     w = (
         W.partitionBy(*chunks.part)
-        .orderBy(_TS, _SIDE, _RIGHT)
+        .orderBy(_TS, _SIDE, *values)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
+    hit = F.last(F.when(is_right, F.struct(*values)), ignorenulls=True).over(w)
     return (
-        rows.withColumn("_hit", F.last(_RIGHT, ignorenulls=True).over(w))
-        .filter((F.col(_SIDE) == 0) & ~F.col(HALO))
-        .select(f"{_LEFT}.*", *[F.col(f"_hit.{c}").alias(c) for c in value_columns])
+        rows.withColumn("_hit", hit)
+        .filter(~is_right & ~F.col(HALO))
+        .select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in values])
     )
 
 

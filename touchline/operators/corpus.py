@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text as ft
 from touchline.operators.skew import checked_broadcast, hot_groups, pairs_within
-from touchline.session import cut_lineage
+from touchline.session import cut_lineage, spread
 
 # Word bands per register, the hard cap of a cover letter, tell-tale phrases.
 BANDS = {"cover": (320, 400), "motivation": (500, 650), "job": (220, 300)}
@@ -106,8 +106,9 @@ def fill(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select(*docs.columns, left.alias("n_unresolved"))
 
 
-def _distinct_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(F.array_distinct(ft.terms(text))).alias("term"))
+def _distinct_terms(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    rows = spread(df.select(*keys, text), keys[0])
+    return rows.select(*keys, F.explode(F.array_distinct(ft.terms(text))).alias("term"))
 
 
 def term_containment(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -117,11 +118,9 @@ def term_containment(docs: DataFrame, targets: DataFrame) -> DataFrame:
     are joined on (target, term), so a target that most texts share is spread
     over its terms.
     """
-    wanted = _distinct_terms(targets, "target_id", "target_text")
+    wanted = _distinct_terms(targets, ["target_id"], "target_text")
     sizes = wanted.groupBy("target_id").agg(F.count("*").alias("n_terms"))
-    named = docs.select(
-        "doc_id", "target_id", F.explode(F.array_distinct(ft.terms("text"))).alias("term")
-    )
+    named = _distinct_terms(docs, ["doc_id", "target_id"], "text")
     hits = (
         named.join(checked_broadcast(wanted), ["target_id", "term"])
         .groupBy("doc_id")
@@ -141,8 +140,8 @@ def term_containment(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def unsupported(docs: DataFrame, evidence: DataFrame, key: str = "doc_id") -> DataFrame:
     """Terms of a text that its evidence does not contain: (key, term)."""
-    claimed = _distinct_terms(docs, key, "text").distinct()
-    backed = _distinct_terms(evidence, key, "text").distinct()
+    claimed = _distinct_terms(docs, [key], "text").distinct()
+    backed = _distinct_terms(evidence, [key], "text").distinct()
     return claimed.join(backed, [key, "term"], "left_anti")
 
 
@@ -151,18 +150,19 @@ def unsupported(docs: DataFrame, evidence: DataFrame, key: str = "doc_id") -> Da
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, set_id, shingles): hashed n-term shingles; equal sets share `set_id`."""
-    hashed = F.array_sort(ft.shingle_hashes("text", n))
-    sets = docs.select("doc_id", hashed.alias("shingles")).filter(F.size("shingles") > 0)
-    spelled = F.array_join(F.col("shingles").cast("array<string>"), ",")
-    return sets.withColumn("set_id", F.sha2(spelled, 256))
+    rows = spread(docs.select("doc_id", "text"), "doc_id")
+    sets = rows.select("doc_id", F.sort_array(ft.shingle_hashes("text", n)).alias("shingles"))
+    both = F.concat_ws("-", F.xxhash64("shingles"), F.xxhash64(F.reverse("shingles")))
+    return sets.filter(F.size("shingles") > 0).withColumn("set_id", both)
 
 
 def copy_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, rep_id): the lowest doc_id with the same shingle set.
 
-    Texts do not move: the representative is a map-side combined minimum.
+    Texts are read once and do not move further: the small (doc_id, set_id)
+    table is stored, and the representative is a map-side combined minimum.
     """
-    sets = shingle_sets(docs, n).select("doc_id", "set_id")
+    sets = cut_lineage(shingle_sets(docs, n).select("doc_id", "set_id"))
     reps = sets.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("_n"))
     # Sets that occur once need no join, which leaves little to send around.
     repeated = checked_broadcast(reps.filter(F.col("_n") > 1).drop("_n"))

@@ -29,6 +29,7 @@ def last_n(
     prefix: str = "form",
     last_ts: str | None = None,
     grain: int = DAY_US,
+    cold: bool = False,
 ) -> DataFrame:
     """Sums of `measures` over the last n earlier rows, for each n in `spans`.
 
@@ -37,7 +38,7 @@ def last_n(
     (time, tie) and k strictly earlier rows, the sum is S(k) - S(k - n).
     """
     rows = t.withColumn(_TS, micros("kickoff"))
-    chunks = plan_chunks(rows, keys, _TS, grain)
+    chunks = plan_chunks(rows, keys, _TS, grain, cold)
     rows = with_halo(rows, chunks, [tie], max(spans))
     part = W.partitionBy(*chunks.part)
     in_order = part.orderBy(_TS, tie)
@@ -78,7 +79,11 @@ def _with_gd(df: DataFrame, spans: Sequence[int], prefix: str) -> DataFrame:
 
 
 def rolling_form(
-    t: DataFrame, n: int | Sequence[int], side: str | None = None, last_ts: str | None = None
+    t: DataFrame,
+    n: int | Sequence[int],
+    side: str | None = None,
+    last_ts: str | None = None,
+    cold: bool = False,
 ) -> DataFrame:
     """Points, goals for, against and difference over the last n matches.
 
@@ -91,7 +96,7 @@ def rolling_form(
         t = t.filter(F.col("side") == side)
     elif side == "own":
         keys, prefix = ["team", "side"], "side"
-    return _with_gd(last_n(t, keys, spans, MEASURES, prefix=prefix, last_ts=last_ts), spans, prefix)
+    return _with_gd(last_n(t, keys, spans, MEASURES, prefix=prefix, last_ts=last_ts, cold=cold), spans, prefix)
 
 
 def rest_days(t: DataFrame) -> DataFrame:
@@ -107,11 +112,11 @@ def rest_days(t: DataFrame) -> DataFrame:
     )
 
 
-def matchday(t: DataFrame) -> DataFrame:
+def matchday(t: DataFrame, cold: bool = False) -> DataFrame:
     """1 + matches of the team in the season strictly before this one."""
     keys = ["league", "season", "team"]
     rows = t.withColumn(_TS, micros("kickoff"))
-    chunks = plan_chunks(rows, keys, _TS, DAY_US)
+    chunks = plan_chunks(rows, keys, _TS, DAY_US, cold)
     w = W.partitionBy(*chunks.part).orderBy(_TS)
     return (
         chunks.tag(rows)
@@ -120,7 +125,9 @@ def matchday(t: DataFrame) -> DataFrame:
     )
 
 
-def head_to_head(m: DataFrame, n: int = 3, last_ts: str | None = None) -> DataFrame:
+def head_to_head(
+    m: DataFrame, n: int = 3, last_ts: str | None = None, cold: bool = False
+) -> DataFrame:
     """Record over the last n meetings of the pair, from the home side's view."""
     first = F.least("home_team", "away_team")
     is_first = F.col("home_team") == first
@@ -136,7 +143,7 @@ def head_to_head(m: DataFrame, n: int = 3, last_ts: str | None = None) -> DataFr
             "g2": F.when(is_first, F.col("away_goals")).otherwise(F.col("home_goals")),
         }
     )
-    rows = last_n(pairs, ["_p1", "_p2"], [n], ["pts1", "pts2", "g1", "g2"], prefix="h2h", last_ts=last_ts)
+    rows = last_n(pairs, ["_p1", "_p2"], [n], ["pts1", "pts2", "g1", "g2"], prefix="h2h", last_ts=last_ts, cold=cold)
     mine = F.col("home_team") == F.col("_p1")
 
     def turned(one: str, two: str):
@@ -179,12 +186,15 @@ def attach_sides(m: DataFrame, feats: DataFrame, columns: Sequence[str], diffs:
     one aggregation, so both sides cost one shuffle.
     """
     sides = {"h": "H", "a": "A"}
-    wide = feats.groupBy("match_id").agg(
+    row = F.struct(*columns)
+    packed = feats.groupBy("match_id").agg(
         *[
-            F.max(F.when(F.col("side") == code, F.col(c))).alias(f"{c}_{s}")
-            for c in columns
+            F.first(F.when(F.col("side") == code, row), ignorenulls=True).alias(f"_{s}")
             for s, code in sides.items()
         ]
     )
+    wide = packed.select(
+        "match_id", *[F.col(f"_{s}.{c}").alias(f"{c}_{s}") for c in columns for s in sides]
+    )
     out = m.join(wide, "match_id", "left")
     return out.withColumns({f"{c}_diff": F.col(f"{c}_h") - F.col(f"{c}_a") for c in diffs})

@@ -73,13 +73,22 @@ class Chunks:
         )
 
 
-def plan_chunks(df: DataFrame, keys: Sequence[str], order: str, grain: int) -> Chunks:
+def has_hot_groups(df: DataFrame, keys: Sequence[str]) -> bool:
+    return hot_groups(df, keys, setting(df.sparkSession, HOT_ROWS)) is not None
+
+
+def plan_chunks(
+    df: DataFrame, keys: Sequence[str], order: str, grain: int, cold: bool = False
+) -> Chunks:
     """Cut every hot group into runs of about `hotGroupRows` rows.
 
     `order` is a long column. Rows of one group within one `grain` of it stay
-    together, so rows with an equal order value always share a chunk.
+    together, so rows with an equal order value always share a chunk. `cold`
+    says that the caller has checked these or shorter keys and found none hot.
     """
     keys = tuple(keys)
+    if cold:
+        return Chunks(keys, order, grain, None)
     limit = setting(df.sparkSession, HOT_ROWS)
     hot = hot_groups(df, keys, limit)
     if hot is None:

@@ -14,7 +14,7 @@ from touchline.operators.form import (
     rolling_form,
 )
 from touchline.operators.rows import team_rows
-from touchline.operators.skew import checked_broadcast
+from touchline.operators.skew import checked_broadcast, has_hot_groups
 
 SPANS = (5, 10)
 KINDS = ("points", "gf", "ga", "gd", "n_used")
@@ -34,21 +34,26 @@ def rated_matches(m: DataFrame, ratings: DataFrame) -> DataFrame:
     return attach_sides(m, rated, ["rating", "valid_from"], diffs=["rating"])
 
 
-def team_features(m: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Per (match, side). The four windows share one shuffle on the team."""
-    t = rolling_form(team_rows(m), SPANS, last_ts="last_played")
-    t = rolling_form(t, SPANS, side="own")
-    t = matchday(t)
+def team_features(m: DataFrame, ratings: DataFrame, cold: bool = False) -> DataFrame:
+    """Per (match, side). Without a hot team all windows share one shuffle on the team.
+
+    Ratings are attached first, while the rows are still narrow.
+    """
+    t = asof_join(team_rows(m), ratings, ["team"], "kickoff", "valid_from")
+    t = rolling_form(t, SPANS, last_ts="last_played", cold=cold)
+    t = rolling_form(t, SPANS, side="own", cold=cold)
+    t = matchday(t, cold=cold)
     t = t.withColumn("rest", F.datediff("kickoff", "last_played").cast("long"))
     promoted = checked_broadcast(promoted_flag(m))
-    t = t.join(promoted, ["league", "season", "team"], "left")
-    return asof_join(t, ratings, ["team"], "kickoff", "valid_from")
+    return t.join(promoted, ["league", "season", "team"], "left")
 
 
 def build_features(m: DataFrame, ratings: DataFrame) -> DataFrame:
     """Features of every match, with `max_src_ts`, the latest source time behind them."""
-    feats = team_features(m, ratings)
-    h2h = head_to_head(m, 3, last_ts="h2h_last")
+    # All windows are within a team, so one check of the teams serves them all.
+    cold = not has_hot_groups(team_rows(m), ["team"])
+    feats = team_features(m, ratings, cold)
+    h2h = head_to_head(m, 3, last_ts="h2h_last", cold=cold)
     wide = attach_sides(
         h2h, feats, [*SIDE_COLUMNS, "last_played", "valid_from"], diffs=["rating"]
     )
