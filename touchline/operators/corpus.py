@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import text as ft
-from touchline.operators.skew import checked_broadcast, hot_groups, pairs_within
+from touchline.operators.skew import checked_broadcast, pairs_within
 from touchline.session import cut_lineage, spread
 
 # Word bands per register, the hard cap of a cover letter, tell-tale phrases.
@@ -188,27 +188,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, tau: float = 0.8) -> DataFrame:
     distinct = cut_lineage(distinct.withColumn("size", F.size("shingles")))
 
     exploded = distinct.select("rep_id", "size", F.explode("shingles").alias("shingle"))
-    common = hot_groups(exploded, ["shingle"], 1)
-    if common is None:
-        return distinct.select(
-            F.col("rep_id").alias("doc_a"), F.col("rep_id").alias("doc_b"), F.lit(0.0).alias("jaccard")
-        ).limit(0)
-    # A shingle of one set only cannot make a pair but still ranks first.
+    shared = cut_lineage(
+        exploded.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    )
+    # Shingles of one set only come first in its order and cannot make a pair:
+    # they fill the prefix but need not be sorted or sent.
     ranked = (
-        exploded.join(common, "shingle", "left")
+        exploded.join(checked_broadcast(shared), "shingle")
         .groupBy("rep_id", "size")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce("_rows", F.lit(1)).alias("df"), "shingle"))
-            ).alias("ordered")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
     )
     needed = F.ceil(F.col("size") * F.lit(tau) - F.lit(1e-9)).cast("int")
-    prefix = F.slice("ordered", 1, F.col("size") - needed + 1)
-    posted = (
-        ranked.select("rep_id", "size", F.explode(prefix).alias("_p"))
-        .filter(F.col("_p.df") > 1)
-        .select(F.col("_p.shingle").alias("shingle"), F.col("rep_id").alias("doc"), "size")
+    slots = F.greatest(F.size("ordered") - needed + 1, F.lit(0))
+    posted = cut_lineage(
+        ranked.select("rep_id", "size", F.explode(F.slice("ordered", F.lit(1), slots)).alias("_p")).select(
+            F.col("_p.shingle").alias("shingle"), F.col("rep_id").alias("doc"), "size"
+        )
     )
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     candidates = (

@@ -92,9 +92,8 @@ def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFr
     placed = number_within(
         directed.withColumn("_h", F.xxhash64("src", "dst")), ["src"], "_h", 1 << 54, "pos"
     ).drop("_h")
-    steps = placed.join(
-        degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree")), "dst"
-    )
+    ends = degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree"))
+    steps = placed.join(checked_broadcast(ends), "dst")
     steps = cut_lineage(steps.select(F.col("src").alias("node"), "pos", "dst", "dst_degree"))
     state = degree.select(
         F.col("src").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"),
