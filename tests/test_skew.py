@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions.clock import DAY_US, micros
 from touchline.operators import corpus, form, graph, panel
 from touchline.operators.asof import asof_join
 from touchline.operators.imbalance import auc, smote, uplift_by_decile
 from touchline.operators.neighbours import nearest
 from touchline.operators.rows import team_rows
-from touchline.operators.skew import number_within, totals_before
+from touchline.operators.skew import number_within, plan_chunks, totals_before
 from touchline.sources.derived import contests, labelled_vectors, membership, ratings, table
 from touchline.sources.derived import panel as event_panel
 
@@ -45,6 +46,27 @@ def test_chunks_change_nothing(name, m, limits):
     assert rows_of(WINDOWED[name](m)) == plain
 
 
+def test_busy_day_is_cut_finer(spark, limits):
+    """All rows of a key within one day, many of them at equal times."""
+    rows = [(1, i, f"2024-03-01 {i % 20:02d}:{i % 7:02d}:00", i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "team long, match_id long, at string, points long").select(
+        "team", "match_id", F.col("at").cast("timestamp_ntz").alias("kickoff"), "points"
+    )
+
+    def run():
+        return rows_of(form.last_n(df, ["team"], [5], ["points"], last_ts="last"))
+
+    plain = run()
+    limits(HOT_ROWS=20)
+    chunks = plan_chunks(df.withColumn("us", micros("kickoff")), ["team"], "us", DAY_US)
+    assert chunks.table.select("_chunk").distinct().count() > 10
+    assert run() == plain
+    everything = [(r["kickoff"], r["match_id"], r["points"]) for r in df.collect()]
+    for _, _, at, _, found, *_ in plain:
+        last = sorted((r for r in everything if r[0] < at), reverse=True)[:5]
+        assert found == (sum(p for _, _, p in last) if last else None)
+
+
 def test_chunks_change_nothing_without_broadcast(m, limits):
     plain = rows_of(WINDOWED["form"](m))
     limits(HOT_ROWS=25, BROADCAST_ROWS=1)

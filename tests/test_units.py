@@ -156,3 +156,21 @@ def test_goal_rates_recovered(spark):
     assert set(pred) == {i + 1, i + 2}  # also the match of a team never seen
     for r in pred.values():
         assert r["p_h"] + r["p_d"] + r["p_a"] == pytest.approx(1)
+
+
+def test_no_division_by_zero(spark):
+    """Empty classes and constant groups give nulls, not errors."""
+    from touchline.operators.imbalance import auc, class_metrics, uplift_by_decile
+    from touchline.operators.panel import edge_contrast, granger1, pair_corr
+
+    df = spark.createDataFrame([(0.5, 0, 0), (0.7, 0, 0)], "score double, label int, predicted int")
+    assert class_metrics(df).first()["recall"] is None
+    assert auc(df).first()["auc"] is None
+    lifts = uplift_by_decile(df.withColumns({"treated": F.lit(1), "outcome": F.col("label")})).collect()
+    assert all(r["rate_control"] is None and r["uplift"] is None for r in lifts)
+    flat = spark.createDataFrame([(s, r, t, 1.0) for s in range(4) for r in "ab" for t in range(9)], "subject long, region string, t long, x double")
+    corr = pair_corr(flat)
+    assert [r["r"] for r in corr.collect()] == [None] * 4
+    groups = flat.select("subject").distinct().withColumn("grp", (F.col("subject") % 2).cast("int"))
+    assert edge_contrast(corr.withColumn("r", F.lit(0.5)), groups).first()["t"] is None
+    assert all(r["f"] is None for r in granger1(flat).collect())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The marker format of unfilled slots, and what separates tokens and sentences.
 MARKER = r"\[FILL: ([^\]]*)\]"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TERM_CHARACTER = r"[\p{L}\p{N}]"
 SENTENCE_SPLIT = r"[.!?\n]+"
 
 
@@ -39,8 +40,10 @@ def shingle_hashes(text: Column | str, n: int) -> Column:
     """Hashes of the distinct n-term shingles; a shorter text is one shingle of all its terms."""
 
     def windows(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
-        hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(t, i, n)))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0)))
+        # Single elements instead of slice(), which copies the whole array each
+        # time. Past the end get() is null, which the hash skips.
+        hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(n)]))
         return F.when(F.size(t) > 0, F.array_distinct(hashed))
 
     # The outer transform binds the terms once; inlined into the inner lambda

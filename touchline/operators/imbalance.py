@@ -89,8 +89,8 @@ def class_metrics(scored: DataFrame, label: str = "label", predicted: str = "pre
             F.count("*").alias("n"), count(y & p).alias("tp"), count(~y & p).alias("fp"),
             count(y & ~p).alias("fn"),
         )
-        .withColumns({"recall": tp / (tp + fn), "precision": tp / (tp + fp)})
-        .withColumn("f1", 2 * tp / (2 * tp + fp + fn))
+        .withColumns({"recall": F.try_divide(tp, tp + fn), "precision": F.try_divide(tp, tp + fp)})
+        .withColumn("f1", F.try_divide(2 * tp, 2 * tp + fp + fn))
     )
 
 
@@ -108,7 +108,7 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFr
     return ranked.agg(
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
-        (won / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"),
     )
 
 
@@ -235,8 +235,8 @@ def uplift_by_decile(df: DataFrame, score: str = "score") -> DataFrame:
         F.sum("n").alias("n"), F.sum("n_treated").alias("n_treated"),
         F.sum("y_treated").alias("_yt"), F.sum("y_control").alias("_yc"),
     )
-    rate_treated = F.col("_yt") / F.col("n_treated")
-    rate_control = F.col("_yc") / (F.col("n") - F.col("n_treated"))
+    rate_treated = F.try_divide(F.col("_yt"), F.col("n_treated"))
+    rate_control = F.try_divide(F.col("_yc"), F.col("n") - F.col("n_treated"))
     return sums.select(
         "decile", "n", "n_treated", rate_treated.alias("rate_treated"),
         rate_control.alias("rate_control"), (rate_treated - rate_control).alias("uplift"),

@@ -150,8 +150,8 @@ def granger1(panel: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
     restricted = a * a
-    full = (a * a + b * b - 2 * a * b * c) / (1 - c * c)
-    f = (full - restricted) / ((1 - full) / (F.col("n") - 3))
+    full = F.try_divide(a * a + b * b - 2 * a * b * c, 1 - c * c)
+    f = F.try_divide(full - restricted, (1 - full) / (F.col("n") - 3))
     return rows.filter("n > 3").select("subject", "src", "dst", F.col("n").cast("long").alias("n"), f.alias("f"))
 
 
@@ -204,13 +204,13 @@ def pc_skeleton(corr: DataFrame, alpha: float = 0.05) -> DataFrame:
         .join(yz, ["subject", "dst", "z"])
     )
     rx, ry = F.col("r_xz"), F.col("r_yz")
-    partial = (F.col("r") - rx * ry) / F.sqrt((1 - rx * rx) * (1 - ry * ry))
+    partial = F.try_divide(F.col("r") - rx * ry, F.sqrt((1 - rx * rx) * (1 - ry * ry)))
     cut = tested.filter(independent(partial, F.least("n", "n_xz", "n_yz"), 1)).select("subject", "src", "dst").distinct()
     return edges.join(cut, ["subject", "src", "dst"], "left_anti").select("subject", "src", "dst", "r")
 
 
 def _welch(m1: Column, v1: Column, n1: Column, m0: Column, v0: Column, n0: Column) -> Column:
-    return (m1 - m0) / F.sqrt(v1 / n1 + v0 / n0)
+    return F.try_divide(m1 - m0, F.sqrt(v1 / n1 + v0 / n0))
 
 
 def edge_contrast(edges: DataFrame, groups: DataFrame, value: str = "r") -> DataFrame:

@@ -22,6 +22,7 @@ from touchline.session import BROADCAST_ROWS, HOT_ROWS, PAIR_ROWS, setting
 CHUNK = "_chunk"
 HALO = "_halo"
 _CELL = "_cell"
+MAX_CELLS = 10_000_000  # per key, when the grain has to be refined
 BEFORE = "_before"
 
 
@@ -83,8 +84,8 @@ def plan_chunks(
     """Cut every hot group into runs of about `hotGroupRows` rows.
 
     `order` is a long column. Rows of one group within one `grain` of it stay
-    together, so rows with an equal order value always share a chunk. `cold`
-    says that the caller has checked these or shorter keys and found none hot.
+    together, so rows with an equal order value always share a chunk; a grain
+    that holds too many rows is made finer. `cold` says that the caller has checked these or shorter keys and found none hot.
     """
     keys = tuple(keys)
     if cold:
@@ -93,13 +94,16 @@ def plan_chunks(
     hot = hot_groups(df, keys, limit)
     if hot is None:
         return Chunks(keys, order, grain, None)
-    cells = (
-        df.select(*keys, order)
-        .join(hot.drop("_rows"), list(keys), "left_semi")
-        .groupBy(*keys, F.floor(F.col(order) / F.lit(grain)).cast("long").alias(_CELL))
-        .agg(F.count("*").alias("_n"))
-    )
-    # The cells of one key are bounded by the time range, not by the rows.
+    rows = df.select(*keys, order).join(hot.drop("_rows"), list(keys), "left_semi")
+    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    finest = max((ends["high"] - ends["low"]) // MAX_CELLS, 1)
+    while True:
+        cell = F.floor(F.col(order) / F.lit(grain)).cast("long").alias(_CELL)
+        cells = rows.groupBy(*keys, cell).agg(F.count("*").alias("_n"))
+        if grain <= finest or cells.filter(F.col("_n") > limit).isEmpty():
+            break
+        grain = max(grain // 60, finest)  # too much happens within one grain
+    # The cells of one key are bounded by MAX_CELLS and the first grain, not by the rows.
     earlier = W.partitionBy(*keys).orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
     table = cells.withColumn("_sum", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
         CHUNK, F.floor(F.col("_sum") / F.lit(limit)).cast("long")
