@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.neighbours import nearest
 from touchline.operators.skew import checked_broadcast, totals_before
+from touchline.session import cut_lineage
 
 
 def class_weight(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
@@ -174,12 +175,11 @@ def score_classifier(model: Model, df: DataFrame, columns: Sequence[str]) -> Dat
 def classify(train: DataFrame, test: DataFrame, columns: Sequence[str], kinds: Sequence[str] = CLASSIFIERS) -> DataFrame:
     """Test rows scored by each classifier, long by `model`."""
     out = None
-    train = train.persist()  # read once per pass of each fit
+    train = cut_lineage(train)  # read once per pass of each fit
     for kind in kinds:
         scored = score_classifier(fit_classifier(train, columns, kind), test, columns)
         scored = scored.withColumn("model", F.lit(kind))
         out = scored if out is None else out.unionByName(scored)
-    train.unpersist()
     return out
 
 

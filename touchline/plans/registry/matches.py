@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.functions.outcomes import OUTCOMES
@@ -23,8 +25,6 @@ CSV_COLUMNS = {
 
 
 def _folder(spark, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
