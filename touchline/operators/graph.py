@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Word2Vec
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.operators.skew import checked_broadcast, number_within, pairs_within
 from touchline.session import cut_lineage
@@ -126,6 +128,8 @@ def node_embed(
     n_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
     if n_nodes > MAX_VOCABULARY:
         raise ValueError(f"{n_nodes} nodes are more than skip-gram training holds")
+    if n_nodes == 0:
+        return edges.sparkSession.createDataFrame([], T.StructType().add("node", "long").add("vector", VectorUDT()))
     paths = cut_lineage(
         walks(edges, per_node, length, seed).select(F.col("path").cast("array<string>").alias("path"))
     )
