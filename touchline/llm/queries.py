@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from touchline.llm.byte_bpe import op8_byte_bpe
 from touchline.llm.packing import op1_packing
+from touchline.llm.quality import OP2_SQL, op2_quality_rules
+from touchline.llm.simhash import op3_simhash
 from touchline.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL}
