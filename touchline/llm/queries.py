@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from touchline.llm.byte_bpe import op8_byte_bpe
+from touchline.llm.neighbours import op7_neighbours
 from touchline.llm.packing import op1_packing
 from touchline.llm.quality import OP2_SQL, op2_quality_rules
 from touchline.llm.simhash import op3_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
 }
