@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from touchline.llm.byte_bpe import op8_byte_bpe
+from touchline.llm.extraction import op4_html_extraction
 from touchline.llm.neighbours import op7_neighbours
 from touchline.llm.packing import op1_packing
 from touchline.llm.quality import OP2_SQL, op2_quality_rules
 from touchline.llm.simhash import op3_simhash
 from touchline.llm.token_counts import op9_token_counts
+from touchline.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_html_extraction": op4_html_extraction,
     "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL}
