@@ -201,10 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     own = stored(fingerprints(docs, width))
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = components(links(nodes, radius))
-    named = nodes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    roots = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least"))
+    # Most fingerprints have no link and meet no join on a root.
+    members = linked.select(F.col("node").alias("fp"), "root").join(nodes, "fp")
+    roots = members.groupBy("root").agg(F.min("first_id").alias("least"))
+    moved = members.join(roots, "root").select("fp", "least")
     named = stored(
-        named.join(roots, "root", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+        nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
     )
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
