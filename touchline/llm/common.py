@@ -28,6 +28,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished steps now. Its cleaner waits for the
+    driver's garbage collection, which may not come while a long job fills the disks."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text: other columns, whatever their names, are left out."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from touchline.llm.byte_bpe import op8_byte_bpe
 from touchline.llm.extraction import op4_html_extraction
+from touchline.llm.line_dedup import op5_line_dedup
 from touchline.llm.neighbours import op7_neighbours
 from touchline.llm.packing import op1_packing
 from touchline.llm.quality import OP2_SQL, op2_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_html_extraction": op4_html_extraction,
+    "op5_line_dedup": op5_line_dedup,
     "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
