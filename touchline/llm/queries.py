@@ -9,6 +9,7 @@ from touchline.llm.neighbours import op7_neighbours
 from touchline.llm.packing import op1_packing
 from touchline.llm.quality import OP2_SQL, op2_quality_rules
 from touchline.llm.simhash import op3_simhash
+from touchline.llm.substring_dedup import op6_substring_dedup
 from touchline.llm.token_counts import op9_token_counts
 from touchline.llm.toxicity import op10_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
