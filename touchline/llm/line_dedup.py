@@ -11,7 +11,8 @@ the longer set's in full and the shorter set's in its still shorter form; size a
 position bound the overlap before a pair is made. Pairs are verified on all their
 words, which come from the texts, and only for lines that are in a pair.
 
-Sets are named by 64 bits and words by 44 bits of a hash.
+Signatures of 128 bits drop most pairs before that. Sets are named by 64 bits and words by
+44 bits of a hash.
 
 Rows: null text has no lines; documents without an id are returned as they are and match
 nothing; rows with the same id and text count as one document; an empty table gives
@@ -22,17 +23,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import lru_cache
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import WORD_BREAK, ids_and_texts, map_chunks, release, stored
+from touchline.llm.common import chunks, ids_and_texts, map_chunks, release, stored
 
-SEED, BUCKET_BITS, TOKEN_BITS = 42, 16, 44
-BLOCK_WORDS, BLOCK_LINES = 500_000, 1 << 19
+BASE = 0x9E3779B97F4A7C15
+BUCKET_BITS, TOKEN_BITS = 16, 44
+BLOCK_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,19 @@ class Settings:
 
 def bucket_ranks(docs: DataFrame) -> np.ndarray:
     """Rank of each hash bucket by how many words of the corpus fall into it, rarest first."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = docs.select(F.explode(F.split(F.translate("text", upper, upper.lower()), WORD_BREAK)).alias("w"))
     size = 1 << BUCKET_BITS
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int").alias("bucket")
+    target = docs.sparkSession.createDataFrame([], "bucket int, n long").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for _, texts in chunks(batches):
+            for raw in blocks(texts):
+                total += np.bincount(word_tokens(raw)[0] & (size - 1), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
     counts = np.zeros(size, np.int64)
-    for at, n in words.groupBy(bucket).count().collect():  # at most 65,536 rows
+    for at, n in docs.mapInArrow(run, target).groupBy("bucket").agg(F.sum("n")).collect():  # at most 65,536 rows
         counts[at] = n
     ranks = np.empty(size, np.int64)
     ranks[np.argsort(counts, kind="stable")] = np.arange(size)
@@ -61,75 +70,135 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
 
 def _mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (values ^ (values >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-
-
-def blocks(lines: list[tuple]) -> Iterator[list[tuple]]:
-    start, words = 0, 0
-    for end, line in enumerate(lines, 1):
-        words += len(line[-1])
-        if words >= BLOCK_WORDS or end - start >= BLOCK_LINES or end == len(lines):
-            yield lines[start:end]
-            start, words = end, 0
-
-
-def token_sets(lines: list[list[bytes]], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines given as words: the different tokens of all lines, rarest first within
-    each; where each line's tokens begin; and the name of each set."""
-    counts = np.fromiter(map(len, lines), np.int64, len(lines))
-    flat = chain.from_iterable(lines)
-    tokens = np.fromiter(map(xxhash.xxh64_intdigest, flat, repeat(SEED)), np.uint64, int(counts.sum()))
-    tokens &= np.uint64((1 << TOKEN_BITS) - 1)
-    bucket = (tokens & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
-    line = np.repeat(np.arange(len(lines)), counts)
-    key = line << TOKEN_BITS | ranks[bucket] << TOKEN_BITS - BUCKET_BITS | (tokens >> np.uint64(BUCKET_BITS)).astype(np.int64)
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(30))
+
+
+def blocks(texts: list[str]) -> Iterator[bytes]:
+    """The texts, lower-cased (A-Z only) and joined by line ends, in blocks of whole lines."""
+    raw = "\n".join(texts).encode().lower()
+    start = 0
+    while start < len(raw):
+        end = len(raw)
+        if end - start > BLOCK_BYTES:
+            end = raw.rfind(b"\n", start, start + BLOCK_BYTES) + 1 or raw.find(b"\n", start) + 1 or len(raw)
+        yield raw[start:end]
+        start = end
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(BLOCK_BYTES + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def word_tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Token and line number of every word. The bytes of a word are hashed as a polynomial
+    by differences of running sums; a line longer than a block is cut between words."""
+    up, down = _powers()
+    tokens, lines, start, line = [], [], 0, 0
+    while start < len(raw):
+        end = len(raw)
+        if end - start > BLOCK_BYTES:
+            # Cut at white space; a word longer than a block is hashed in parts.
+            cut = max(raw.rfind(c, start, start + BLOCK_BYTES) for c in (b" ", b"\n", b"\t", b"\r"))
+            end = cut + 1 if cut >= start else start + BLOCK_BYTES
+        data = np.frombuffer(raw, np.uint8, end - start, start)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.add.accumulate(data * up[: len(data)], out=sums[1:])
+        value = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+        tokens.append(_mix(value) & np.uint64((1 << TOKEN_BITS) - 1))
+        ends = np.flatnonzero(data == 10)
+        lines.append(line + np.searchsorted(ends, first))
+        line += len(ends)
+        start = end
+    if not tokens:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(tokens).astype(np.int64), np.concatenate(lines)
+
+
+@dataclass(frozen=True)
+class Sets:
+    line: np.ndarray  # number of each line that takes part
+    tokens: np.ndarray  # different tokens of all these lines, rarest first within each
+    starts: np.ndarray  # where each line's tokens begin
+    sizes: np.ndarray
+    names: np.ndarray
+
+
+def token_sets(raw: bytes, ranks: np.ndarray, least: int) -> Sets:
+    """The lines with at least `least` different words, as sets."""
+    tokens, line = word_tokens(raw)
+    enough = np.bincount(line, minlength=1) >= least
+    number = np.flatnonzero(enough)
+    use = enough[line]
+    tokens, line = tokens[use], (np.cumsum(enough) - 1)[line[use]]
+    key = line << TOKEN_BITS | ranks[tokens & ((1 << BUCKET_BITS) - 1)] << TOKEN_BITS - BUCKET_BITS | tokens >> BUCKET_BITS
     key, first = np.unique(key, return_index=True)
     tokens, line = tokens[first], line[first]
-    starts = np.searchsorted(line, np.arange(len(lines)))
-    names = np.add.reduceat(_mix(tokens), starts) if len(tokens) else np.zeros(0, np.uint64)
-    return tokens.astype(np.int64), starts, _mix(names).view(np.int64)
+    sizes = np.bincount(line, minlength=len(number))
+    if (sizes < least).any():  # words that occur twice in a line
+        keep = sizes >= least
+        tokens, number, sizes = tokens[keep[line]], number[keep], sizes[keep]
+    starts = np.cumsum(sizes) - sizes
+    names = _mix(np.add.reduceat(_mix(tokens.astype(np.uint64)), starts)) if len(starts) else np.zeros(0, np.uint64)
+    return Sets(number, tokens, starts, sizes, names.view(np.int64))
 
 
-def _split(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode().lower().split(b"\n")]
+def signatures(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """128 parity bits per set, as two integers: two sets differ in at least as many words."""
+    bit = tokens >> TOKEN_BITS - 7
+    out = []
+    for half in (0, 1):
+        one = np.where(bit >> 6 == half, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))
+        out.append(np.bitwise_xor.reduceat(one, starts).view(np.int64) if len(starts) else np.zeros(0, np.int64))
+    return out
 
 
 def line_table(docs: DataFrame, ranks: np.ndarray, s: Settings) -> DataFrame:
-    """doc_id, line, name, size and prefix (packed 32-bit tokens) of every line that takes part."""
+    """doc_id, line, name, size, prefix (packed 32-bit tokens) and signature of every line that takes part."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = ("doc_id", "line", "name", "size", "sig0", "sig1")
 
     def make():
         def work(ids: list, texts: list[str]) -> dict:
-            out: dict[str, list] = {"doc_id": [], "line": [], "name": [], "size": [], "prefix": []}
-            lines = [
-                (doc, i, words)
-                for doc, text in zip(ids, texts, strict=True)
-                for i, words in enumerate(_split(text))
-                if len(words) >= s.min_tokens
-            ]
-            for block in blocks(lines):
-                tokens, starts, names = token_sets([words for _, _, words in block], shared.value)
-                sizes = np.diff(np.append(starts, len(tokens)))
-                reach = sizes - (s.mille * sizes + 999) // 1000 + 1
-                raw = (tokens >> (TOKEN_BITS - 32)).astype("<u4").tobytes()
-                for k in np.flatnonzero(sizes >= s.min_tokens).tolist():
-                    out["doc_id"].append(block[k][0])
-                    out["line"].append(block[k][1])
-                    out["prefix"].append(raw[4 * starts[k] : 4 * (starts[k] + reach[k])])
-                long = sizes >= s.min_tokens
-                out["name"] += names[long].tolist()
-                out["size"] += sizes[long].tolist()
-            return out
+            counts = np.array([t.count("\n") + 1 for t in texts])
+            before = np.cumsum(counts) - counts
+            doc_of = np.repeat(np.arange(len(texts)), counts)
+            ids = np.array(ids, np.int64)
+            out: dict[str, list] = {c: [] for c in names}
+            prefixes, at = [], 0
+            for raw in blocks(texts):
+                sets = token_sets(raw, shared.value, s.min_tokens)
+                line = sets.line + at
+                at += raw.count(b"\n")
+                reach = sets.sizes - (s.mille * sets.sizes + 999) // 1000 + 1
+                packed = (sets.tokens >> TOKEN_BITS - 32).astype("<u4").tobytes()
+                ends = sets.starts + reach
+                prefixes += [packed[4 * a : 4 * b] for a, b in zip(sets.starts.tolist(), ends.tolist(), strict=True)]
+                doc = doc_of[line]
+                sig0, sig1 = signatures(sets.tokens, sets.starts)
+                for c, v in zip(names, (ids[doc], line - before[doc], sets.names, sets.sizes, sig0, sig1), strict=True):
+                    out[c].append(v)
+            return {c: np.concatenate(v) if v else [] for c, v in out.items()} | {"prefix": prefixes}
 
         return work
 
-    schema = "doc_id long, line int, name long, size int, prefix binary"
+    schema = "doc_id long, line int, name long, size int, sig0 long, sig1 long, prefix binary"
     return map_chunks(docs.filter("doc_id IS NOT NULL"), make, schema)
 
 
 def candidates(sets: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of set names (a, b) that the prefix, size and position filters leave."""
-    import pyarrow as pa
+    """Pairs of sets (a, b) that the prefix, size and position filters and the signatures
+    leave, with their sizes and first places."""
 
     def postings(share_num: int, share_den: int):
         def run(batches):
@@ -166,7 +235,14 @@ def candidates(sets: DataFrame, s: Settings) -> DataFrame:
         & (size("b") * 1000 >= size("a") * m)
         & (left * (1000 + m) >= (size("a") + size("b")) * m)
     )
-    return longer.join(shorter, on).select("a", "b").distinct()
+    pairs = longer.join(shorter, on).select("a", "b").distinct()
+    known = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("name", "size", "sig0", "sig1", "first")])
+    joined = pairs.join(known("a"), F.col("a") == F.col("a_name")).join(known("b"), F.col("b") == F.col("b_name"))
+    differ = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("sig0", "sig1"))
+    both = F.col("a_size") + F.col("b_size")
+    # Sets that differ in d words have (both - d) / 2 in common.
+    possible = joined.filter((both - differ) * (1000 + m) >= 2 * m * both)
+    return possible.select("a", "b", "a_first", "b_first")
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -180,23 +256,27 @@ def tokens_of(docs: DataFrame, wanted: DataFrame, ranks: np.ndarray) -> DataFram
     def make():
         def work(keys: list, texts: list[str]) -> dict:
             out: dict[str, list] = {"name": [], "tokens": []}
-            lines = []
+            names, lines = [], []
             for key, text in zip(keys, texts, strict=True):
-                split = text.encode().lower().split(b"\n")
-                lines += [(w["name"], split[w["line"]].split()) for w in key if w["line"] < len(split)]
-            lines = [x for x in lines if x[1]]
-            for block in blocks(lines):
-                tokens, starts, names = token_sets([words for _, words in block], shared.value)
-                ends = np.append(starts[1:], len(tokens))
-                for k, (name, _) in enumerate(block):
-                    if names[k] == name:  # another row may have the same id
-                        out["name"].append(name)
-                        out["tokens"].append(tokens[starts[k] : ends[k]].tolist())
+                split = text.split("\n")
+                for w in key:
+                    if w["line"] < len(split):
+                        names.append(w["name"])
+                        lines.append(split[w["line"]])
+            at = 0
+            for raw in blocks(lines):
+                sets = token_sets(raw, shared.value, 1)
+                ends = sets.starts + sets.sizes
+                for k, i in enumerate((sets.line + at).tolist()):
+                    if sets.names[k] == names[i]:  # another row may have the same id
+                        out["name"].append(names[i])
+                        out["tokens"].append(sets.tokens[sets.starts[k] : ends[k]])
+                at += raw.count(b"\n")
             return out
 
         return work
 
-    return map_chunks(rows, make, "name long, tokens array<bigint>").dropDuplicates(["name"])
+    return map_chunks(rows, make, "name long, tokens array<bigint>")
 
 
 def removed_lines(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -207,20 +287,17 @@ def removed_lines(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     first = F.min(F.struct("doc_id", "line")).alias("first")
     sets = stored(
         lines.groupBy("name").agg(
-            first, F.max(F.struct("doc_id", "line")).alias("last"), F.first("size").alias("size"),
-            F.first("prefix").alias("prefix"),
+            first, F.max(F.struct("doc_id", "line")).alias("last"), 
+            *[F.first(c).alias(c) for c in ("size", "sig0", "sig1", "prefix")],
         )
     )
     release(docs)
     pairs = stored(candidates(sets, s))
     release(docs)
-    in_pairs = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    wanted = sets.select("name", "first.doc_id", "first.line").join(in_pairs, "name", "left_semi")
-    words = stored(tokens_of(docs, wanted, ranks))
+    ends = [pairs.select(F.col(x).alias("name"), f"{x}_first.*") for x in ("a", "b")]
+    words = stored(tokens_of(docs, ends[0].union(ends[1]).distinct(), ranks))
     release(docs)
-    side = lambda x: words.join(sets.select("name", "first"), "name").select(
-        F.col("name").alias(x), F.col("tokens").alias(f"{x}_tokens"), F.col("first").alias(f"{x}_first")
-    )
+    side = lambda x: words.select(F.col("name").alias(x), F.col("tokens").alias(f"{x}_tokens"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     union = F.size("a_tokens") + F.size("b_tokens") - shared
