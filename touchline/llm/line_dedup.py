@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import chunks, ids_and_texts, map_chunks, release, stored
+from touchline.llm.hashing import BLOCK_BYTES, mix, word_hashes
 
-BASE = 0x9E3779B97F4A7C15
 BUCKET_BITS, TOKEN_BITS = 16, 44
-BLOCK_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -68,12 +66,6 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _mix(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(30))
-
-
 def blocks(texts: list[str]) -> Iterator[bytes]:
     """The texts, lower-cased (A-Z only) and joined by line ends, in blocks of whole lines."""
     raw = "\n".join(texts).encode().lower()
@@ -86,43 +78,10 @@ def blocks(texts: list[str]) -> Iterator[bytes]:
         start = end
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(BLOCK_BYTES + 1, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
-
-
 def word_tokens(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Token and line number of every word. The bytes of a word are hashed as a polynomial
-    by differences of running sums; a line longer than a block is cut between words."""
-    up, down = _powers()
-    tokens, lines, start, line = [], [], 0, 0
-    while start < len(raw):
-        end = len(raw)
-        if end - start > BLOCK_BYTES:
-            # Cut at white space; a word longer than a block is hashed in parts.
-            cut = max(raw.rfind(c, start, start + BLOCK_BYTES) for c in (b" ", b"\n", b"\t", b"\r"))
-            end = cut + 1 if cut >= start else start + BLOCK_BYTES
-        data = np.frombuffer(raw, np.uint8, end - start, start)
-        inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edges[::2], edges[1::2]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.add.accumulate(data * up[: len(data)], out=sums[1:])
-        value = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
-        tokens.append(_mix(value) & np.uint64((1 << TOKEN_BITS) - 1))
-        ends = np.flatnonzero(data == 10)
-        lines.append(line + np.searchsorted(ends, first))
-        line += len(ends)
-        start = end
-    if not tokens:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(tokens).astype(np.int64), np.concatenate(lines)
+    """Token and line number of every word."""
+    hashes, lines = word_hashes(raw)
+    return (hashes & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64), lines
 
 
 @dataclass(frozen=True)
@@ -149,7 +108,7 @@ def token_sets(raw: bytes, ranks: np.ndarray, least: int) -> Sets:
         keep = sizes >= least
         tokens, number, sizes = tokens[keep[line]], number[keep], sizes[keep]
     starts = np.cumsum(sizes) - sizes
-    names = _mix(np.add.reduceat(_mix(tokens.astype(np.uint64)), starts)) if len(starts) else np.zeros(0, np.uint64)
+    names = mix(np.add.reduceat(mix(tokens.astype(np.uint64)), starts)) if len(starts) else np.zeros(0, np.uint64)
     return Sets(number, tokens, starts, sizes, names.view(np.int64))
 
 
