@@ -41,7 +41,9 @@ def devig(odds_h: ColumnOrName, odds_d: ColumnOrName, odds_a: ColumnOrName) -> d
 
 
 def decay(ts: ColumnOrName, cutoff: ColumnOrName, xi: float) -> Column:
-    return F.exp(-F.lit(xi) * F.datediff(_c(cutoff), _c(ts)))
+    """Weight of a match before the cutoff; null at or after it, where it must not count."""
+    when, at = _c(cutoff), _c(ts)
+    return F.when(at < when, F.exp(-F.lit(xi) * F.datediff(when, at)))
 
 
 def prob_of(actual: ColumnOrName) -> Column:

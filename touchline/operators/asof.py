@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.clock import DAY_US, micros
-from touchline.operators.skew import HALO, plan_chunks, with_halo
+from touchline.operators.skew import HALO, split_hot, with_halo
 
 _TS, _SIDE = "_us", "_side"
 
@@ -38,7 +38,7 @@ def asof_join(
     lefts = left.withColumns({_TS: micros(left_ts), _SIDE: F.lit(0)})
     rights = right.withColumns({_TS: micros(right_ts), _SIDE: F.lit(1)})
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    chunks = plan_chunks(both, keys, _TS, grain, cold)
+    both, chunks = split_hot(both, keys, _TS, grain, cold)
     is_right = F.col(_SIDE) == 1
     rows = with_halo(both, chunks, [_SIDE, *values], 1, source=is_right)
     w = (

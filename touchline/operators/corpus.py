@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import text as ft
@@ -85,6 +85,9 @@ def fact_gaps(facts: DataFrame, required: DataFrame) -> DataFrame:
 def fill(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """Replace markers by facts; a marker without a fact stays as it is.
 
+    The text is split at its markers and each is looked up once: a value that itself
+    holds a marker is not filled in turn. `n_unresolved` counts the markers left as they are.
+
     Markers travel without their texts: the values of a document come back as
     one small map, so a text is shuffled once.
     """
@@ -95,15 +98,21 @@ def fill(docs: DataFrame, facts: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_facts"))
     )
-    marker = "[FILL: "
-    filled = F.aggregate(
-        F.map_entries("_facts"),
-        F.col("text"),
-        lambda t, e: F.replace(t, F.concat(F.lit(marker), e["key"], F.lit("]")), e["value"]),
+    names = ft.markers("text")
+
+    def value(name: Column) -> Column:
+        return F.coalesce(F.element_at("_facts", name), F.concat(F.lit("[FILL: "), name, F.lit("]")))
+
+    parts = F.split("text", ft.MARKER)
+    filled = F.array_join(
+        F.zip_with(parts, F.transform(names, value), lambda part, v: F.concat(part, F.coalesce(v, F.lit("")))), ""
     )
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.coalesce(filled, F.col("text")))
-    left = F.size(ft.markers("text")).cast("long")
-    return out.select(*docs.columns, left.alias("n_unresolved"))
+    out = docs.join(found, "doc_id", "left")
+    known_names = F.coalesce(F.map_keys("_facts"), F.array().cast("array<string>"))
+    left = F.size(F.filter(names, lambda n: ~F.array_contains(known_names, n))).cast("long")
+    text = F.when(F.col("_facts").isNull(), F.col("text")).otherwise(filled).alias("text")
+    columns = [text if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*columns, F.coalesce(left, F.lit(0).cast("long")).alias("n_unresolved"))
 
 
 def _distinct_terms(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -116,7 +125,7 @@ def term_containment(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     `docs`: doc_id, target_id, text. `targets`: target_id, target_text. Terms
     are joined on (target, term), so a target that most texts share is spread
-    over its terms.
+    over its terms. A target that is missing or has no terms gives null.
     """
     wanted = _distinct_terms(targets, ["target_id"], "target_text")
     sizes = wanted.groupBy("target_id").agg(F.count("*").alias("n_terms"))
@@ -128,11 +137,11 @@ def term_containment(docs: DataFrame, targets: DataFrame) -> DataFrame:
     )
     return (
         docs.select("doc_id", "target_id")
-        .join(checked_broadcast(sizes), "target_id")
+        .join(checked_broadcast(sizes), "target_id", "left")
         .join(hits, "doc_id", "left")
         .select(
             "doc_id", "target_id", "n_terms",
-            F.coalesce("n_named", F.lit(0).cast("long")).alias("n_named"),
+            F.when(F.col("n_terms").isNotNull(), F.coalesce("n_named", F.lit(0).cast("long"))).alias("n_named"),
         )
         .withColumn("containment", F.col("n_named") / F.col("n_terms"))
     )
@@ -159,7 +168,8 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def copy_groups(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, rep_id): the lowest doc_id with the same shingle set.
+    """(doc_id, rep_id): the lowest doc_id with the same shingle set; null for a text
+    without terms, which is nobody's copy.
 
     Texts are read once and do not move further: the small (doc_id, set_id)
     table is stored, and the representative is a map-side combined minimum.
@@ -168,9 +178,11 @@ def copy_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     reps = sets.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("_n"))
     # Sets that occur once need no join, which leaves little to send around.
     repeated = checked_broadcast(reps.filter(F.col("_n") > 1).drop("_n"))
-    return sets.join(repeated, "set_id", "left").select(
+    grouped = sets.join(repeated, "set_id", "left").select(
         "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id")
     )
+    blank = docs.filter(~F.coalesce(F.col("text").rlike(ft.TERM_CHARACTER), F.lit(False)))
+    return grouped.unionByName(blank.select("doc_id", F.lit(None).cast(grouped.schema["rep_id"].dataType).alias("rep_id")))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, tau: float = 0.8) -> DataFrame:
@@ -238,6 +250,7 @@ def reuse_verdict(docs: DataFrame, n: int = 5, tau: float = 0.8) -> DataFrame:
         "rep_id", (F.col("n_copies") - 1).alias("n_copies"),
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
-    return groups.join(per_set, "rep_id").select(
-        "doc_id", "n_copies", "n_near", ((F.col("n_copies") > 0) | (F.col("n_near") > 0)).alias("reusable")
+    copies, near = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n_copies", "n_near"))
+    return groups.join(per_set, "rep_id", "left").select(
+        "doc_id", copies.alias("n_copies"), near.alias("n_near"), ((copies > 0) | (near > 0)).alias("reusable")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.clock import DAY_US, micros
 from touchline.functions.outcomes import points
-from touchline.operators.skew import BEFORE, HALO, plan_chunks, with_halo
+from touchline.operators.skew import BEFORE, HALO, split_hot, with_halo
 
 _TS = "_us"
 MEASURES = ("points", "gf", "ga")
@@ -38,7 +38,7 @@ def last_n(
     (time, tie) and k strictly earlier rows, the sum is S(k) - S(k - n).
     """
     rows = t.withColumn(_TS, micros("kickoff"))
-    chunks = plan_chunks(rows, keys, _TS, grain, cold)
+    rows, chunks = split_hot(rows, keys, _TS, grain, cold)
     rows = with_halo(rows, chunks, [tie], max(spans))
     part = W.partitionBy(*chunks.part)
     in_order = part.orderBy(_TS, tie)
@@ -102,7 +102,7 @@ def rolling_form(
 def rest_days(t: DataFrame) -> DataFrame:
     """Days since the latest strictly earlier match; null without one."""
     rows = t.withColumn(_TS, micros("kickoff"))
-    chunks = plan_chunks(rows, ["team"], _TS, DAY_US)
+    rows, chunks = split_hot(rows, ["team"], _TS, DAY_US)
     rows = with_halo(rows, chunks, ["match_id"], 1)
     earlier = W.partitionBy(*chunks.part).orderBy(_TS).rangeBetween(W.unboundedPreceding, -1)
     return (
@@ -116,7 +116,7 @@ def matchday(t: DataFrame, cold: bool = False) -> DataFrame:
     """1 + matches of the team in the season strictly before this one."""
     keys = ["league", "season", "team"]
     rows = t.withColumn(_TS, micros("kickoff"))
-    chunks = plan_chunks(rows, keys, _TS, DAY_US, cold)
+    rows, chunks = split_hot(rows, keys, _TS, DAY_US, cold)
     w = W.partitionBy(*chunks.part).orderBy(_TS)
     return (
         chunks.tag(rows)
@@ -162,19 +162,19 @@ def head_to_head(
 def promoted_flag(m: DataFrame) -> DataFrame:
     """(league, season, team, promoted): in the league now, not in the season before.
 
-    Null in the first season of a league.
+    Null if the league has no season right before, as in its first one.
     """
     now = m.select("league", "season", F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
     before = now.select("league", (F.col("season") + 1).alias("season"), "team", F.lit(True).alias("_was"))
-    start = m.groupBy("league").agg(F.min("season").alias("_start"))
+    held = m.select("league", (F.col("season") + 1).alias("season"), F.lit(True).alias("_held")).distinct()
     return (
         now.join(before, ["league", "season", "team"], "left")
-        .join(start, "league")
+        .join(held, ["league", "season"], "left")
         .select(
             "league",
             "season",
             "team",
-            F.when(F.col("season") > F.col("_start"), F.col("_was").isNull()).alias("promoted"),
+            F.when(F.col("_held"), F.col("_was").isNull()).alias("promoted"),
         )
     )
 

@@ -50,8 +50,8 @@ def smote(df: DataFrame, k: int = 5, ratio: float = 1.0, seed: int = 0) -> DataF
     sizes = df.agg(
         F.sum("label").alias("minority"), F.count("*").alias("n")
     ).first()
-    minority_rows = int(sizes["minority"])
-    per_row = max(ratio * (sizes["n"] - minority_rows) - minority_rows, 0.0) / minority_rows
+    minority_rows = int(sizes["minority"] or 0)
+    per_row = max(ratio * (sizes["n"] - minority_rows) - minority_rows, 0.0) / max(minority_rows, 1)
     minority = df.filter("label = 1").select("id", "features")
 
     def uniform(*parts) -> F.Column:
@@ -62,7 +62,7 @@ def smote(df: DataFrame, k: int = 5, ratio: float = 1.0, seed: int = 0) -> DataF
     wanted = minority.withColumn(
         "copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
     )
-    graph = nearest(minority, k, seed)
+    graph = cut_lineage(nearest(minority, k, seed))
     known = graph.groupBy("id").agg(F.max("rank").alias("_known"))
     picked = wanted.join(known, "id").withColumn(
         "rank", (F.floor(uniform("id", "copy", F.lit("pick")) * F.col("_known")) + 1).cast("int")
@@ -95,12 +95,18 @@ def class_metrics(scored: DataFrame, label: str = "label", predicted: str = "pre
     )
 
 
+def _with_score(df: DataFrame, score: str) -> DataFrame:
+    value = F.col(score).cast("double")
+    return df.filter(value.isNotNull() & ~F.isnan(value))
+
+
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC AUC by ranks; tied scores count one half.
+    """ROC AUC by ranks; tied scores count one half. Rows without a score (null or NaN)
+    have no rank and do not count.
 
     Rows are counted per score first; ranks come from sums over those counts.
     """
-    counts = scored.groupBy(F.col(score).cast("double").alias("_score")).agg(
+    counts = _with_score(scored, score).groupBy(F.col(score).cast("double").alias("_score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
         F.sum((F.col(label) == 0).cast("long")).alias("neg"),
     )
@@ -217,8 +223,10 @@ def uplift_by_decile(df: DataFrame, score: str = "score") -> DataFrame:
     """Treated minus control rate by score decile (columns treated 0/1, outcome 0/1).
 
     A row's decile is that of the share of rows with a lower score, so equal
-    scores stay together and no tie has to be broken.
+    scores stay together and no tie has to be broken. Rows without a score (null or
+    NaN) have no decile and do not count.
     """
+    df = _with_score(df, score)
     treated = F.col("treated") == 1
     y = F.col("outcome").cast("long")
     zero = F.lit(0)

@@ -1,6 +1,6 @@
 """Exact k nearest neighbours among the rows of one table.
 
-Rows are assigned to the nearest of a bounded set of pivots and cells are cut
+Rows are assigned to the nearest of a set of pivots that grows with their square root and cells are cut
 into blocks of a bounded size. A row's neighbours within its own block bound
 the search: it is sent only to blocks whose cell can hold something closer
 (triangle inequality). Nothing but the k best per row and block leaves a task.
@@ -9,6 +9,7 @@ the search: it is sent only to blocks whose cell can hold something closer
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.session import PAIR_ROWS, setting
+from touchline.session import PAIR_ROWS, cut_lineage, setting
 
-MAX_PIVOTS = 256
+MIN_PIVOTS = 256
 _STEP = 512
 
 
@@ -53,7 +54,10 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     spark = df.sparkSession
     block_rows = setting(spark, PAIR_ROWS)
     n = df.count()
-    n_pivots = min(MAX_PIVOTS, max(1, n // block_rows))
+    if n == 0:
+        return spark.createDataFrame([], "id long, neighbour long, distance double, rank int")
+    # One per block, up to the square root of the rows: cells shrink as rows grow.
+    n_pivots = max(1, min(n // block_rows, max(MIN_PIVOTS, isqrt(n))))
     by_hash = df.orderBy(F.xxhash64("id", F.lit(seed)), "id")
     picked = by_hash.limit(n_pivots).select("features").collect()
     pivots = np.array([r["features"] for r in picked])
@@ -66,13 +70,18 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
                 pdf["to_pivot"] = d.min(axis=1)
                 yield pdf
 
-    rows = df.select("id", "features").mapInPandas(
-        assign, "id long, features array<double>, cell int, to_pivot double"
+    rows = cut_lineage(
+        df.select("id", "features").mapInPandas(
+            assign, "id long, features array<double>, cell int, to_pivot double"
+        )
     )
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius"))
-    stats = {r["cell"]: (-(-r["n"] // block_rows), r["radius"]) for r in cells.collect()}  # <= MAX_PIVOTS rows
-    blocks = F.element_at(F.create_map(*[F.lit(v) for c, (b, _) in stats.items() for v in (c, b)]), F.col("cell"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + 1)), blocks).cast("int"))
+    # One row per pivot.
+    stats = {r["cell"]: (-(-r["n"] // block_rows), r["radius"]) for r in cells.collect()}
+    blocks = spark.createDataFrame([(c, b) for c, (b, _) in stats.items()], "cell int, _blocks int")
+    rows = rows.join(F.broadcast(blocks), "cell").withColumn(
+        "block", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("_blocks")).cast("int")
+    ).drop("_blocks")
 
     result = "id long, neighbour long, distance double"
     best_first = W.partitionBy("id").orderBy("distance", "neighbour")
@@ -81,7 +90,7 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
         ids, x = pdf["id"].to_numpy(), np.stack(pdf["features"].to_numpy())
         return _best(ids, x, ids, x, k)
 
-    near = rows.groupBy("cell", "block").applyInPandas(within, result)
+    near = cut_lineage(rows.groupBy("cell", "block").applyInPandas(within, result))
     if len(stats) == 1 and stats[next(iter(stats))][0] == 1:
         return near.withColumn("rank", F.row_number().over(best_first))
     bound = near.groupBy("id").agg(F.count("*").alias("_n"), F.max("distance").alias("_d"))
@@ -90,27 +99,30 @@ def nearest(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     )
     wanted = "id long, features array<double>, to_cell int, to_block int"
 
+    names = np.array(list(stats), np.int64)
+    n_blocks = np.array([b for b, _ in stats.values()], np.int64)
+    radii = np.array([r for _, r in stats.values()])
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = _distances(np.stack(pdf["features"].to_numpy()), pivots) if len(pdf) else []
-            reach = pdf["bound"].fillna(np.inf).to_numpy()
-            picks = []
-            for i, row in enumerate(d):
-                for cell, (n_blocks, radius) in stats.items():
-                    if row[cell] - radius <= reach[i] * (1 + 1e-12) + 1e-12:
-                        for block in range(n_blocks):
-                            if (cell, block) != (pdf["cell"].iat[i], pdf["block"].iat[i]):
-                                picks.append((i, cell, block))
-            if picks:
-                at, cell, block = map(list, zip(*picks, strict=True))
-                yield pd.DataFrame(
-                    {
-                        "id": pdf["id"].to_numpy()[at],
-                        "features": pdf["features"].to_numpy()[at],
-                        "to_cell": np.array(cell, dtype="int32"),
-                        "to_block": np.array(block, dtype="int32"),
-                    }
-                )
+            if not len(pdf):
+                continue
+            d = _distances(np.stack(pdf["features"].to_numpy()), pivots)
+            reach = pdf["bound"].fillna(np.inf).to_numpy() * (1 + 1e-12) + 1e-12
+            at, cell = np.nonzero(d[:, names] - radii <= reach[:, None])
+            times = n_blocks[cell]
+            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at, cell = np.repeat(at, times), names[np.repeat(cell, times)]
+            own = (cell == pdf["cell"].to_numpy()[at]) & (block == pdf["block"].to_numpy()[at])
+            at, cell, block = at[~own], cell[~own], block[~own]
+            yield pd.DataFrame(
+                {
+                    "id": pdf["id"].to_numpy()[at],
+                    "features": pdf["features"].to_numpy()[at],
+                    "to_cell": cell.astype("int32"),
+                    "to_block": block.astype("int32"),
+                }
+            )
 
     # All rows may want one block: they are spread over salts of a bounded share.
     n_salts = n // (16 * block_rows) + 1

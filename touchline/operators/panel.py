@@ -22,7 +22,7 @@ from touchline.operators.skew import (
     checked_broadcast,
     number_within,
     pairs_within,
-    plan_chunks,
+    split_hot,
     with_halo,
 )
 
@@ -110,7 +110,7 @@ def sliding_corr(panel: DataFrame, w: int, grain: int = BLOCK) -> DataFrame:
     pairs = pairs_within(panel, ["subject", "t"], "region").select(
         "subject", F.col("region_a").alias("src"), F.col("region_b").alias("dst"), "t", "x_a", "x_b"
     )
-    chunks = plan_chunks(pairs, ["subject", "src", "dst"], "t", grain)
+    pairs, chunks = split_hot(pairs, ["subject", "src", "dst"], "t", grain)
     rows = with_halo(pairs, chunks, [], w - 1)
     frame = W.partitionBy(*chunks.part).orderBy("t").rowsBetween(-w + 1, 0)
     r = F.when(F.count("*").over(frame) == w, F.corr("x_a", "x_b").over(frame))
@@ -179,7 +179,9 @@ def pc_skeleton(corr: DataFrame, alpha: float = 0.05) -> DataFrame:
     limit = NormalDist().inv_cdf(1 - alpha / 2)
 
     def independent(r: Column, n: Column, order: int) -> Column:
-        return F.abs(F.atanh(r)) * F.sqrt(n - 3 - order) <= limit
+        # Too few samples to test: nothing speaks for an edge.
+        free = n - 3 - order
+        return F.when(free > 0, F.abs(F.atanh(r)) * F.sqrt(free) <= limit).otherwise(F.lit(True))
 
     edges = corr.filter(F.col("r").isNotNull() & ~independent(F.col("r"), F.col("n"), 0))
 

@@ -12,17 +12,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.session import BROADCAST_ROWS, HOT_ROWS, PAIR_ROWS, setting
+from touchline.session import BROADCAST_ROWS, HOT_ROWS, PAIR_ROWS, cut_lineage, setting
 
 CHUNK = "_chunk"
 HALO = "_halo"
 _CELL = "_cell"
-MAX_CELLS = 10_000_000  # per key, when the grain has to be refined
 BEFORE = "_before"
 
 
@@ -78,6 +76,17 @@ def has_hot_groups(df: DataFrame, keys: Sequence[str]) -> bool:
     return hot_groups(df, keys, setting(df.sparkSession, HOT_ROWS)) is not None
 
 
+def split_hot(
+    df: DataFrame, keys: Sequence[str], order: str, grain: int, cold: bool = False
+) -> tuple[DataFrame, Chunks]:
+    """The rows and how their hot groups are cut. If there are any, the rows are stored
+    first: cutting, context and windows all read them, and operators may follow each other."""
+    if not cold and hot_groups(df, keys, setting(df.sparkSession, HOT_ROWS)) is not None:
+        df = cut_lineage(df)
+        return df, plan_chunks(df, keys, order, grain)
+    return df, Chunks(tuple(keys), order, grain, None)
+
+
 def plan_chunks(
     df: DataFrame, keys: Sequence[str], order: str, grain: int, cold: bool = False
 ) -> Chunks:
@@ -95,15 +104,16 @@ def plan_chunks(
     if hot is None:
         return Chunks(keys, order, grain, None)
     rows = df.select(*keys, order).join(hot.drop("_rows"), list(keys), "left_semi")
-    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    finest = max((ends["high"] - ends["low"]) // MAX_CELLS, 1)
+    # One row per key and value of the order: all that the cuts depend on.
+    counted = cut_lineage(rows.groupBy(*keys, order).agg(F.count("*").alias("_c")))
     while True:
         cell = F.floor(F.col(order) / F.lit(grain)).cast("long").alias(_CELL)
-        cells = rows.groupBy(*keys, cell).agg(F.count("*").alias("_n"))
-        if grain <= finest or cells.filter(F.col("_n") > limit).isEmpty():
+        cells = counted.groupBy(*keys, cell).agg(F.sum("_c").alias("_n"), F.count("*").alias("_values"))
+        # A cell of one value cannot be cut, however fine the grain; others can.
+        if grain <= 1 or cells.filter((F.col("_n") > limit) & (F.col("_values") > 1)).isEmpty():
             break
-        grain = max(grain // 60, finest)  # too much happens within one grain
-    # The cells of one key are bounded by MAX_CELLS and the first grain, not by the rows.
+        grain = max(grain // 60, 1)  # too much happens within one grain
+    # At most as many cells as the key has different values of the order.
     earlier = W.partitionBy(*keys).orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
     table = cells.withColumn("_sum", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
         CHUNK, F.floor(F.col("_sum") / F.lit(limit)).cast("long")
@@ -111,7 +121,7 @@ def plan_chunks(
     table = table.withColumn(
         BEFORE, F.min("_sum").over(W.partitionBy(*keys, CHUNK)).cast("long")
     ).select(*keys, _CELL, CHUNK, BEFORE)
-    return Chunks(keys, order, grain, checked_broadcast(table))
+    return Chunks(keys, order, grain, checked_broadcast(cut_lineage(table)))
 
 
 def with_halo(
@@ -164,7 +174,7 @@ def with_halo(
 
 def number_within(df: DataFrame, keys: Sequence[str], order: str, grain: int, name: str) -> DataFrame:
     """Row number from 0 within `keys` by the unique long `order`, hot groups split."""
-    chunks = plan_chunks(df, keys, order, grain)
+    df, chunks = split_hot(df, keys, order, grain)
     w = W.partitionBy(*chunks.part).orderBy(order)
     return (
         chunks.tag(df)
@@ -174,32 +184,28 @@ def number_within(df: DataFrame, keys: Sequence[str], order: str, grain: int, na
 
 
 def totals_before(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
-    """Add `<c>_before`: the sum of `c` over all rows with a lower `order` (unique doubles).
+    """Add `<c>_before`: the sum of `c` over all rows with a lower `order` (unique, not null).
 
-    A frame above the row limit is cut at quantiles, so that no task sorts it
-    whole; the totals per part are carried over.
+    The rows are stored in ranges of the order, one or more of about `hotGroupRows`
+    rows; no task sorts them all, and the totals per range are carried over. NaN is
+    the greatest value, infinities are values like any other.
     """
     limit = setting(df.sparkSession, HOT_ROWS)
-    parts = df.count() // limit + 1
-    if parts == 1:
-        cut = df.withColumn("_part", F.lit(0.0))
-    else:
-        probabilities = [i / parts for i in range(1, parts)]
-        inner = sorted(set(df.approxQuantile(order, probabilities, 0.1 / parts)))
-        splits = [float("-inf"), *inner, float("inf")]
-        cut = Bucketizer(splits=splits, inputCol=order, outputCol="_part").transform(df)
+    rows = cut_lineage(df)
+    parts = rows.count() // limit + 1
+    cut = cut_lineage(
+        rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    )
     w = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
     out = cut.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), zero) for c in columns})
-    if parts == 1:
-        return out.drop("_part")
     # One row per part.
     sums = cut.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
     over = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
         "_part", *[F.coalesce(F.sum(f"_t_{c}").over(over), zero).alias(f"_o_{c}") for c in columns]
     )
-    out = out.join(F.broadcast(offsets), "_part")
+    out = out.join(checked_broadcast(offsets), "_part")
     return out.withColumns(
         {f"{c}_before": F.col(f"{c}_before") + F.col(f"_o_{c}") for c in columns}
     ).drop("_part", *[f"_o_{c}" for c in columns])

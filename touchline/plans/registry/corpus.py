@@ -28,7 +28,9 @@ def _required(spark, sf_dir):
 
 
 def _targeted(spark, sf_dir):
-    return _docs(spark, sf_dir).withColumn("target_id", F.col("doc_id") % 40)
+    """Every document with one of all targets."""
+    n = table(spark, sf_dir, "benchmark").count()
+    return _docs(spark, sf_dir).withColumn("target_id", F.col("doc_id") % max(n, 1))
 
 
 def _turns(spark, sf_dir, claims: bool):
@@ -52,7 +54,7 @@ QUERIES = {
 }
 
 _MARKED = r"""WITH marked AS (
-  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' [FILL: key', doc_id % 7, ']') ELSE text END AS text,
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('[FILL: key', doc_id % 5, '] ', text, ' [FILL: key', doc_id % 7, ']') ELSE text END AS text,
     CASE doc_id % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'motivation' ELSE 'job' END AS register, lang, source FROM documents),
 found AS (SELECT *, regexp_extract_all(text, '\[FILL: ([^\]]*)\]', 1) AS marks FROM marked)"""
 
@@ -93,23 +95,28 @@ ORACLE = {
       SELECT r.key, CASE WHEN f.key IS NULL THEN 'missing' ELSE 'blank' END AS gap FROM r LEFT JOIN facts f USING (key)
       WHERE f.value IS NULL OR trim(f.value) = ''""",
     "fill": f"""{_MARKED}, {_FACTS},
-      -- the derived texts hold at most one marker
-      j AS (SELECT m.*, f.value, m.marks[1] AS mark FROM found m LEFT JOIN facts f ON f.key = m.marks[1] AND trim(f.value) <> '')
-      SELECT doc_id, CASE WHEN value IS NULL THEN text ELSE replace(text, '[FILL: ' || mark || ']', value) END AS text,
-        register, lang, source, len(marks) - (value IS NOT NULL)::int AS n_unresolved FROM j""",
-    "term_containment": f"""WITH d AS (SELECT doc_id, doc_id % 40 AS target_id, unnest(list_distinct({_terms("text")})) AS term FROM documents),
+      p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\[FILL: [^\\]]*\\]')) AS part, unnest(list_append(marks, NULL)) AS mark,
+        unnest(range(len(marks) + 1)) AS i FROM found),
+      v AS (SELECT p.*, f.value FROM p LEFT JOIN facts f ON f.key = p.mark AND trim(f.value) <> ''),
+      j AS (SELECT doc_id, string_agg(part || coalesce(value, '[FILL: ' || mark || ']', ''), '' ORDER BY i) AS text,
+        count(*) FILTER (mark IS NOT NULL AND value IS NULL) AS n_unresolved FROM v GROUP BY doc_id)
+      SELECT doc_id, j.text, register, lang, source, n_unresolved FROM j JOIN found USING (doc_id)""",
+    "term_containment": f"""WITH n AS (SELECT greatest(count(*), 1) AS n FROM benchmark), docs AS (SELECT *, doc_id % n AS target_id FROM documents, n),
+      d AS (SELECT doc_id, target_id, unnest(list_distinct({_terms("text")})) AS term FROM docs),
       t AS (SELECT item_id AS target_id, unnest(list_distinct({_terms("text")})) AS term FROM benchmark),
       k AS (SELECT target_id, count(*) AS n_terms FROM t GROUP BY 1),
       h AS (SELECT doc_id, count(*) AS n_named FROM d JOIN t USING (target_id, term) GROUP BY 1)
-      SELECT x.doc_id, k.target_id, k.n_terms, coalesce(h.n_named, 0) AS n_named, round(coalesce(h.n_named, 0) / k.n_terms, 6) AS containment
-      FROM documents x JOIN k ON k.target_id = x.doc_id % 40 LEFT JOIN h ON h.doc_id = x.doc_id""",
+      SELECT x.doc_id, x.target_id, k.n_terms, CASE WHEN k.n_terms > 0 THEN coalesce(h.n_named, 0) END AS n_named,
+        round(coalesce(h.n_named, 0) / k.n_terms, 6) AS containment
+      FROM docs x LEFT JOIN k USING (target_id) LEFT JOIN h ON h.doc_id = x.doc_id""",
     "unsupported": f"""SELECT DISTINCT conv_id, unnest({_terms("text")}) AS term FROM conversations WHERE role = 'assistant'
       EXCEPT SELECT conv_id, unnest({_terms("text")}) FROM conversations WHERE role <> 'assistant'""",
-    "copy_groups": f"{_SHINGLES} SELECT doc_id, rep_id FROM g",
+    "copy_groups": f"{_SHINGLES} SELECT doc_id, rep_id FROM t LEFT JOIN g USING (doc_id)",
     "near_duplicates": f"{_SHINGLES},{_PAIRS} SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM near",
     "reuse_verdict": f"""{_SHINGLES},{_PAIRS},
       c AS (SELECT doc_id, rep_id, count(*) OVER (PARTITION BY rep_id) - 1 AS n_copies FROM g),
       e AS (SELECT rep_id, count(*) AS n_near FROM (SELECT doc_a AS rep_id FROM near UNION ALL SELECT doc_b FROM near) GROUP BY 1)
-      SELECT doc_id, n_copies, coalesce(n_near, 0) AS n_near, n_copies > 0 OR coalesce(n_near, 0) > 0 AS reusable
-      FROM c LEFT JOIN e USING (rep_id)""",
+      SELECT doc_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_near, 0) AS n_near,
+        coalesce(n_copies, 0) > 0 OR coalesce(n_near, 0) > 0 AS reusable
+      FROM t LEFT JOIN c USING (doc_id) LEFT JOIN e USING (rep_id)""",
 }

@@ -154,7 +154,7 @@ _PROMOTED = """
 present AS (SELECT DISTINCT league, season, team FROM team_rows),
 promoted AS (
   SELECT n.league, n.season, n.team,
-    CASE WHEN n.season > min(n.season) OVER (PARTITION BY n.league) THEN b.team IS NULL END AS promoted
+    CASE WHEN (n.league, n.season - 1) IN (SELECT (league, season) FROM present) THEN b.team IS NULL END AS promoted
   FROM present n LEFT JOIN present b ON b.league = n.league AND b.season = n.season - 1 AND b.team = n.team)"""
 
 _MATCHDAY = """
@@ -196,10 +196,11 @@ ORACLE = {
     "promoted_flag": f"{_W},{_PROMOTED} SELECT * FROM promoted",
     "asof_join": f"""{_W},{RATINGS},{_ASOF} SELECT match_id, kickoff, team, side, CAST(valid_from AS timestamp) AS valid_from, rating
       FROM sides_rated""",
-    "attach_sides": f"""{_W},{RATINGS},{_ASOF}
-      SELECT m.match_id, m.home_team, m.away_team, h.rating AS rating_h, a.rating AS rating_a, h.rating - a.rating AS rating_diff
-      FROM contests m JOIN sides_rated h ON h.match_id = m.match_id AND h.side = 'H'
-      JOIN sides_rated a ON a.match_id = m.match_id AND a.side = 'A'""",
+    "attach_sides": f"""{_W},{RATINGS},{_ASOF},
+      two AS (SELECT match_id, max(rating) FILTER (side = 'H') AS rating_h, max(rating) FILTER (side = 'A') AS rating_a
+        FROM sides_rated GROUP BY match_id)
+      SELECT match_id, m.home_team, m.away_team, rating_h, rating_a, rating_h - rating_a AS rating_diff
+      FROM contests m JOIN two USING (match_id)""",
     "enrich_asof": f"""WITH {CONTESTS}, feed AS (
         SELECT l_orderkey % 5 AS league, l_shipdate AS seen, sum(l_quantity) AS load FROM lineitem GROUP BY ALL)
       SELECT m.match_id, m.league, f.seen AS feed_seen, round(f.load, 6) AS feed_load

@@ -186,7 +186,7 @@ ORACLE = {
       round(CASE WHEN ok THEN (1 / odds_a) / s END, 6) AS p_a
       FROM (SELECT *, odds_h > 1 AND odds_d > 1 AND odds_a > 1 AS ok, 1 / odds_h + 1 / odds_d + 1 / odds_a AS s FROM contests)""",
     "decay_weight": f"""{_W} SELECT match_id, season, league,
-      round(exp(-0.0019 * date_diff('day', CAST(kickoff AS date), DATE '2001-01-01')), 6) AS weight FROM contests""",
+      CASE WHEN kickoff < TIMESTAMP '2001-01-01' THEN round(exp(-0.0019 * date_diff('day', CAST(kickoff AS date), DATE '2001-01-01')), 6) END AS weight FROM contests""",
     "class_weight": f"""{_W}, y AS (SELECT match_id, {OUTCOME} AS outcome FROM contests),
       k AS (SELECT outcome, (SELECT count(*) FROM y) / (count(*) * {float(len(OUTCOMES))}) AS w FROM y GROUP BY outcome)
       SELECT match_id, outcome, round(w, 6) AS class_weight FROM y JOIN k USING (outcome)""",

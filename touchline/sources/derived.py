@@ -75,10 +75,10 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a register; every third one carries an unfilled marker."""
+    """Documents with a register; every third one carries unfilled markers, some of them twice."""
     return table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        "CASE WHEN doc_id % 3 = 0 THEN concat(text, ' [FILL: key', doc_id % 7, ']') ELSE text END AS text",
+        "CASE WHEN doc_id % 3 = 0 THEN concat('[FILL: key', doc_id % 5, '] ', text, ' [FILL: key', doc_id % 7, ']') ELSE text END AS text",
         "CASE doc_id % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'motivation' ELSE 'job' END AS register",
         "lang",
         "source",

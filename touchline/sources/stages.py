@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ("league", "season")) -> None:
     """Hand a table to the next stage; only the partitions in `df` are replaced.
 
-    Rows are spread by partition value and by hash, so a league-season that
-    holds most rows is still written by many tasks.
+    Rows are gathered by partition value; adaptive execution splits a value that holds
+    too many rows for one task and joins small ones.
     """
-    keys = [F.col(c) for c in partition_by]
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
     (
-        df.repartition(*keys, spread)
+        df.hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
@@ -31,4 +28,4 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     """An aggregated table as one file."""
-    df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
+    df.repartition(1).write.mode("overwrite").format(fmt).save(path)
