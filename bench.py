@@ -1,4 +1,4 @@
-"""Headline queries on one node; prints one JSON line."""
+"""All queries of the library on one node (or those named); prints one JSON line."""
 
 from __future__ import annotations
 
@@ -12,22 +12,13 @@ from touchline.session import build_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = [
-    "devig", "team_rows", "dq_season_size", "exclusion_ledger",
-    "form_last_10", "own_side_form", "rest_days", "matchday", "head_to_head", "asof_join",
-    "build_features", "metric_table", "metric_by_season", "calibration", "baseline_gap",
-    "elo_ordered_logit", "dixon_coles",
-    "auc", "uplift_by_decile", "churn_table", "nearest_neighbours",
-    "placeholders", "evidence_density", "term_containment", "unsupported", "copy_groups", "near_duplicates",
-    "pair_corr", "sliding_corr", "granger1", "co_edges", "bridges",
-]
 
 
 def main() -> None:
     spark = build_session(CPUS, "bench")
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or list(queries)
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name in names:

@@ -1,5 +1,6 @@
 """Hash-seeded and fitted queries: invariants on the small tables."""
 
+from touchline.operators import graph
 from touchline.operators.imbalance import churn_table
 from touchline.plans import registry
 from touchline.sources.derived import table
@@ -17,14 +18,12 @@ def test_split_half_and_permutation(spark, sf_dir):
 
 
 def test_node_vectors(spark, sf_dir):
-    # The strong ties of the smallest tables are none: an empty graph has no vectors.
-    assert Q["node_embed"](spark, sf_dir).isEmpty()
-    larger = "/root/testdata/sf0.01"
-    walked = {n for r in Q["random_walks"](spark, larger).collect() for n in r["path"]}
-    vectors = Q["node_embed"](spark, larger).collect()
-    assert walked
-    assert {r["node"] for r in vectors} == walked
-    assert all(len(r["vector"]) == 16 for r in vectors)
+    walked = {int(n) for r in Q["random_walks"](spark, sf_dir).collect() for n in r["path"].split("-")}
+    rows = Q["node_embed"](spark, sf_dir).collect()
+    assert walked and {r["node"] for r in rows} == walked
+    assert len(rows) == 8 * len(walked) and any(r["x"] for r in rows)
+    empty = spark.createDataFrame([], "a long, b long, weight long")
+    assert graph.node_embed(empty).isEmpty() and graph.walks(empty, 2, 3).isEmpty()
 
 
 def test_classifiers_and_scenarios(spark, sf_dir):

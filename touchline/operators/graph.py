@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from touchline.operators.skew import checked_broadcast, number_within, pairs_within
 from touchline.session import cut_lineage
@@ -82,6 +79,11 @@ def bridges(edges: DataFrame, seeds: Sequence[int], target: int, k: int) -> Data
     return found
 
 
+def _drawn(*parts) -> Column:
+    """A non-negative long that depends on the parts alone, the same in every engine with md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, 15), 16, 10).cast("long")
+
+
 def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFrame:
     """Hash-seeded random walks: (start, walk, path).
 
@@ -90,10 +92,8 @@ def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFr
     neighbours of a hub.
     """
     directed = _both_ways(edges).distinct()
-    degree = directed.groupBy("src").agg(F.count("*").alias("degree"))
-    placed = number_within(
-        directed.withColumn("_h", F.xxhash64("src", "dst")), ["src"], "_h", 1 << 54, "pos"
-    ).drop("_h")
+    degree = cut_lineage(directed.groupBy("src").agg(F.count("*").alias("degree")))
+    placed = number_within(directed, ["src"], "dst", 1 << 20, "pos")
     ends = degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree"))
     steps = placed.join(checked_broadcast(ends), "dst")
     steps = cut_lineage(steps.select(F.col("src").alias("node"), "pos", "dst", "dst_degree"))
@@ -102,9 +102,8 @@ def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFr
         F.col("src").alias("node"), "degree", F.array("src").alias("path"),
     )
     for i in range(1, length):
-        draw = F.pmod(F.xxhash64("start", "walk", F.lit(i), F.lit(seed)), F.col("degree"))
         state = (
-            state.withColumn("pos", draw)
+            state.withColumn("pos", _drawn("start", "walk", F.lit(i), F.lit(seed)) % F.col("degree"))
             .join(steps, ["node", "pos"])
             .select(
                 "start", "walk", F.col("dst").alias("node"), F.col("dst_degree").alias("degree"),
@@ -114,26 +113,35 @@ def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFr
     return state.select("start", "walk", "path")
 
 
-MAX_VOCABULARY = 1_000_000
-
-
-def node_embed(
-    edges: DataFrame, per_node: int = 5, length: int = 6, size: int = 16, seed: int = 0
-) -> DataFrame:
-    """Node vectors by skip-gram over seeded walks: (node, vector).
+def node_embed(edges: DataFrame, size: int = 8, rounds: int = 3, seed: int = 0) -> DataFrame:
+    """Node vectors by iterated sparse random projection: (node, vector array<double>).
 
-    The learner keeps its vocabulary on the driver, so the number of nodes is
-    checked first.
+    Every node starts with hashed components -1, 0 or 1. A round replaces a node's
+    vector by the sum of its neighbours', each weighted by weight / sqrt(strength of
+    both ends); nodes with similar surroundings get similar vectors. A round is one
+    join and one sum and is stored; nothing is trained or held in one place.
     """
-    n_nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
-    if n_nodes > MAX_VOCABULARY:
-        raise ValueError(f"{n_nodes} nodes are more than skip-gram training holds")
-    if n_nodes == 0:
-        return edges.sparkSession.createDataFrame([], T.StructType().add("node", "long").add("vector", VectorUDT()))
-    paths = cut_lineage(
-        walks(edges, per_node, length, seed).select(F.col("path").cast("array<string>").alias("path"))
+    ends = F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").cast("double").alias("w")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("weight").cast("double").alias("w")),
+    )
+    directed = edges.select(F.inline(ends))
+    strength = cut_lineage(directed.groupBy("src").agg(F.sum("w").alias("s")))
+    near = checked_broadcast(strength)
+    scaled = (
+        directed.join(near, "src")
+        .join(near.select(F.col("src").alias("dst"), F.col("s").alias("t")), "dst")
+        .select("src", "dst", (F.col("w") / F.sqrt(F.col("s") * F.col("t"))).alias("w"))
     )
-    model = Word2Vec(
-        vectorSize=size, minCount=0, windowSize=3, seed=seed, inputCol="path", outputCol="vector"
-    ).fit(paths)
-    return model.getVectors().select(F.col("word").cast("long").alias("node"), "vector")
+    scaled = cut_lineage(scaled)
+    names = [f"x{j}" for j in range(size)]
+    first = [(_drawn("src", F.lit(j), F.lit(seed)) % 3 - 1).cast("double").alias(n) for j, n in enumerate(names)]
+    state = strength.select(F.col("src").alias("dst"), *first)
+    for _ in range(rounds):
+        state = cut_lineage(
+            scaled.join(state, "dst")
+            .groupBy(F.col("src").alias("_node"))
+            .agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
+            .withColumnRenamed("_node", "dst")
+        )
+    return state.select(F.col("dst").alias("node"), F.array(*names).alias("vector"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from touchline.operators import graph
+from touchline.plans.registry.common import rounded
 from touchline.session import cut_lineage
 from touchline.sources.derived import membership
 
 SEEDS, TARGET, HOPS = (1, 2, 3, 4, 5), 10, 4
+PER_NODE, LENGTH = 5, 6
+SIZE, EMBED_ROUNDS = 8, 3
 
 
 def _strong(spark, sf_dir):
@@ -23,22 +25,60 @@ def bridges(spark, sf_dir):
     return graph.bridges(_strong(spark, sf_dir), SEEDS, TARGET, HOPS)
 
 
+def _all(spark, sf_dir):
+    return cut_lineage(graph.co_edges(membership(spark, sf_dir)))
+
+
+def walked(spark, sf_dir):
+    found = graph.walks(_all(spark, sf_dir), PER_NODE, LENGTH)
+    return found.select("start", "walk", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+
+
 def embedding(spark, sf_dir):
-    vectors = graph.node_embed(_strong(spark, sf_dir))
-    return vectors.select("node", vector_to_array("vector").alias("vector"))
+    vectors = graph.node_embed(_all(spark, sf_dir), SIZE, EMBED_ROUNDS)
+    return rounded(vectors.select("node", F.posexplode("vector").alias("dim", "x")))
 
 
 QUERIES = {
     "co_edges": lambda s, d: graph.co_edges(membership(s, d)),
     "bridges": bridges,
-    "random_walks": lambda s, d: graph.walks(_strong(s, d), 5, 6),
+    "random_walks": walked,
     "node_embed": embedding,
 }
 
 _E = """WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS member FROM lineitem),
 edges AS (SELECT x.member AS a, y.member AS b, count(*) AS weight FROM m x JOIN m y ON x.item = y.item AND x.member < y.member GROUP BY 1, 2)"""
 
+_DIRECTED = """
+both_ways AS (SELECT a AS src, b AS dst, weight AS w FROM edges UNION ALL SELECT b, a, weight FROM edges)"""
+
+
+def _draw(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 15) AS bigint)"
+
+
+def _embedding_sql() -> str:
+    levels = [f"""e0 AS (SELECT src AS node, j, CAST({_draw("src", "j", "0")} % 3 - 1 AS double) AS x
+      FROM strength, (SELECT unnest(range({SIZE})) AS j))"""]
+    for k in range(EMBED_ROUNDS):
+        levels.append(f"""e{k + 1} AS (SELECT d.src AS node, e.j, sum(d.w / sqrt(s.s * t.s) * e.x) AS x FROM both_ways d
+      JOIN strength s ON s.src = d.src JOIN strength t ON t.src = d.dst JOIN e{k} e ON e.node = d.dst GROUP BY 1, 2)""")
+    return ",\n".join(levels)
+
+
 ORACLE = {
+    "random_walks": f"""{_E},{_DIRECTED}, adj AS (SELECT DISTINCT src, dst FROM both_ways),
+      placed AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS degree FROM adj),
+      nodes AS (SELECT DISTINCT src, degree FROM placed),
+      w AS (SELECT src AS start, walk, src AS node, degree, 1 AS i, CAST(src AS varchar) AS path
+          FROM nodes, (SELECT unnest(range(1, {PER_NODE} + 1)) AS walk)
+        UNION ALL SELECT w.start, w.walk, p.dst, n.degree, w.i + 1, w.path || '-' || p.dst FROM w
+          JOIN placed p ON p.src = w.node AND p.pos = {_draw("w.start", "w.walk", "w.i", "0")} % w.degree
+          JOIN nodes n ON n.src = p.dst WHERE w.i < {LENGTH})
+      SELECT start, CAST(walk AS int) AS walk, path FROM w WHERE i = {LENGTH}""",
+    "node_embed": f"""{_E},{_DIRECTED}, strength AS (SELECT src, CAST(sum(w) AS double) AS s FROM both_ways GROUP BY src),
+      {_embedding_sql()}
+      SELECT node, CAST(j AS int) AS dim, round(x, 6) + 0.0 AS x FROM e{EMBED_ROUNDS}""",
     "co_edges": f"{_E} SELECT a, b, weight FROM edges",
     "bridges": f"""{_E}, s AS (SELECT a, b FROM edges WHERE weight > (SELECT avg(weight) + 2 * stddev_pop(weight) FROM edges)),
       adj AS (SELECT a AS src, b AS dst FROM s UNION ALL SELECT b, a FROM s),
