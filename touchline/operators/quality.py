@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +73,13 @@ def flag_repeats(m: DataFrame, name: str = "is_repeat") -> DataFrame:
     Only the repeated fixtures are joined back, so a fixture that was copied
     very often is not gathered in one task while that table is broadcast.
     """
-    first = checked_broadcast(dq_duplicates(m).select(*FIXTURE, "first_match_id"))
+    repeated = dq_duplicates(m).select(*[F.col(c).alias(f"_f_{c}") for c in FIXTURE], "first_match_id")
+    same = None  # a missing value equals a missing one, as in the count of duplicates
+    for c in FIXTURE:
+        one = F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+        same = one if same is None else same & one
     return (
-        m.join(first, FIXTURE, "left")
+        m.join(checked_broadcast(repeated), same, "left")
         .withColumn(name, F.coalesce(F.col("match_id") > F.col("first_match_id"), F.lit(False)))
         .select(*m.columns, name)
     )
@@ -96,8 +100,20 @@ def default_rules() -> Rules:
     }
 
 
-def apply_exclusions(m: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """(kept, ledger). A row is kept if no rule fires; the ledger lists each rule that did."""
+def input_rules() -> Rules:
+    """Rules for rows as they come from the files, marked by `flag_repeats` and `mark_scope`."""
+    unpriced = (F.col("odds_h") <= 1) | (F.col("odds_d") <= 1) | (F.col("odds_a") <= 1)
+    return {
+        "malformed": (F.col("_malformed").isNotNull(), "the line could not be read as its columns"),
+        "out_of_scope": (~F.col("in_scope"), "league or season is not part of the study"),
+        "unpriced": (unpriced, "a closing odd is no price"),
+        **default_rules(),
+    }
+
+
+def apply_exclusions(m: DataFrame, rules: Rules, ids: Sequence[str] = ("match_id",)) -> tuple[DataFrame, DataFrame]:
+    """(kept, ledger). A row is kept if no rule fires; the ledger lists each rule that did,
+    with the columns `ids` that name the row."""
     fired = F.filter(
         F.array(
             *[
@@ -113,5 +129,5 @@ def apply_exclusions(m: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     )
     judged = m.withColumn("_fired", fired)
     kept = judged.filter(F.size("_fired") == 0).drop("_fired")
-    ledger = judged.select("match_id", F.inline("_fired")).drop("_fires")
+    ledger = judged.select(*ids, F.inline("_fired")).drop("_fires")
     return kept, ledger

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.operators import folds, scoring
 from touchline.operators.forecast.reference import base_rates, market
+from touchline.plans import pipeline
 from touchline.plans.registry.common import (
     CONTESTS,
     FOLDS,
@@ -16,6 +19,8 @@ from touchline.plans.registry.common import (
     scope,
     scored_pair,
 )
+from touchline.session import shared_dir
+from touchline.sources.derived import contests, ratings
 
 IDS = ["model", "fold", "match_id"]
 
@@ -49,12 +54,23 @@ def predictions(spark, sf_dir):
     return rounded(scoring.predictions(pred, m, season=1999, league=2))
 
 
+def pipeline_metrics(spark, sf_dir):
+    """The report of the whole chain of stages, for the two models that SQL can express."""
+    m = contests(spark, sf_dir)
+    raw = m.withColumns({"_malformed": F.lit(None).cast("string"), "source_file": F.lit("contests")})
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    return rounded(
+        pipeline.run(raw, ratings(m), folder, range(5), n_folds=N_FOLDS, models=("market", "base_rate"))
+    )
+
+
 def _scored(fn):
     return lambda spark, sf_dir: rounded(fn(scored_pair(spark, sf_dir)))
 
 
 QUERIES = {
     "walk_forward": walk_forward,
+    "pipeline_metrics": pipeline_metrics,
     "split_audit": split_audit,
     "common_sample": common_sample,
     "score_rows": score_rows,
@@ -106,3 +122,8 @@ ORACLE = {
         round(stddev_samp(log_loss) / sqrt(count(*)), 6) AS log_loss_se, round(stddev_samp(brier) / sqrt(count(*)), 6) AS brier_se
       FROM d GROUP BY model""",
 }
+
+_KEPT = SCOPE.replace("scope AS", "chosen AS") + """,
+scope AS (SELECT * EXCLUDE (first_id) FROM (SELECT *, min(match_id) OVER (PARTITION BY league, season, home_team, away_team) AS first_id FROM chosen)
+  WHERE match_id = first_id AND odds_h IS NOT NULL)"""
+ORACLE["pipeline_metrics"] = ORACLE["metric_table"].replace(SCOPE, _KEPT)

@@ -96,6 +96,25 @@ def select_scope(
     A season is complete when a later one has started in the same league, or
     when (league, season) is listed in `completed`.
     """
+    kept = _chosen_seasons(m, leagues, n, completed)
+    return m.join(kept, ["league", "season"], "left_semi").select(*m.columns)
+
+
+def mark_scope(
+    m: DataFrame,
+    leagues: Sequence[int] | None = None,
+    n: int = 12,
+    completed: Sequence[tuple[int, int]] = (),
+) -> DataFrame:
+    """All rows with `in_scope`, which `select_scope` would have kept."""
+    kept = _chosen_seasons(m, leagues, n, completed).withColumn("_in", F.lit(True))
+    marked = m.join(kept, ["league", "season"], "left")
+    return marked.select(*m.columns, F.coalesce("_in", F.lit(False)).alias("in_scope"))
+
+
+def _chosen_seasons(
+    m: DataFrame, leagues: Sequence[int] | None, n: int, completed: Sequence[tuple[int, int]]
+) -> DataFrame:
     if leagues is not None:
         m = m.filter(F.col("league").isin(list(leagues)))
     seasons = m.select("league", "season").distinct()
@@ -110,8 +129,7 @@ def select_scope(
         .select("league", "season")
     )
     # With a league list there are at most leagues x n rows to send.
-    kept = F.broadcast(kept) if leagues is not None else checked_broadcast(kept)
-    return m.join(kept, ["league", "season"], "left_semi").select(*m.columns)
+    return F.broadcast(kept) if leagues is not None else checked_broadcast(kept)
 
 
 def union_inputs(*parts: DataFrame) -> DataFrame:
