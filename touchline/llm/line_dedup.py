@@ -173,33 +173,36 @@ def candidates(sets: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(held[use]), pa.array(batch.column(0).to_numpy()[row]),
-                        pa.array(sizes[row] << 32 | place),
+                        pa.array(sizes[row] << 32 | place), pa.array(batch.column(3).to_numpy()[row]),
                     ],
-                    names=["token", "name", "where"],
+                    names=["token", "name", "where", "sig"],
                 )
 
-        return sets.select("name", "size", "prefix").mapInArrow(run, "token long, name long, where long")
+        sig = F.col("sig0").bitwiseXOR(F.col("sig1")).alias("sig")
+        return sets.select("name", "size", "prefix", sig).mapInArrow(run, "token long, name long, where long, sig long")
 
     m = s.mille
     side = lambda df, x: df.select(
-        F.col("token").alias(f"{x}_token"), F.col("name").alias(x), F.col("where").alias(f"{x}_where")
+        F.col("token").alias(f"{x}_token"), F.col("name").alias(x), F.col("where").alias(f"{x}_where"), F.col("sig").alias(f"{x}_sig")
     )
     longer, shorter = side(postings(m, 1000), "a"), side(postings(2 * m, 1000 + m), "b")
     size = lambda x: F.shiftright(f"{x}_where", 32)
     place = lambda x: F.col(f"{x}_where").bitwiseAND(F.lit(0xFFFFFFFF))
     left = F.least(size("a") - place("a"), size("b") - place("b"))
+    # Sets that differ in d words have (both sizes - d) / 2 in common; signatures bound d from below.
+    differ = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig")))
     on = (
         (F.col("a_token") == F.col("b_token"))
         & ((size("b") < size("a")) | ((size("b") == size("a")) & (F.col("b") < F.col("a"))))
         & (size("b") * 1000 >= size("a") * m)
         & (left * (1000 + m) >= (size("a") + size("b")) * m)
+        & ((size("a") + size("b") - differ) * (1000 + m) >= 2 * m * (size("a") + size("b")))
     )
     pairs = longer.join(shorter, on).select("a", "b").distinct()
     known = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("name", "size", "sig0", "sig1", "first")])
     joined = pairs.join(known("a"), F.col("a") == F.col("a_name")).join(known("b"), F.col("b") == F.col("b_name"))
     differ = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("sig0", "sig1"))
     both = F.col("a_size") + F.col("b_size")
-    # Sets that differ in d words have (both - d) / 2 in common.
     possible = joined.filter((both - differ) * (1000 + m) >= 2 * m * both)
     return possible.select("a", "b", "a_first", "b_first")
 
