@@ -13,7 +13,7 @@ from touchline.session import shared_dir
 
 # Fixed value: a word is a run of characters outside these six (space, tab to carriage return).
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-CHUNK_CHARS = 2_000_000  # texts of a batch handled together
+CHUNK_CHARS, CHUNK_ROWS = 2_000_000, 1000  # of a batch, handled together
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +40,16 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and whole texts (null: empty), about two million characters at a time."""
+    """Keys and whole texts (null: empty), about two million characters at a time."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        column = batch.column(1)
+        keys, column = batch.column(0), batch.column(1)
         start, held = 0, 0
         lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for end, n in enumerate(lengths, 1):
             held += n
-            if held >= CHUNK_CHARS or end == len(ids):
-                yield ids[start:end], [t or "" for t in column.slice(start, end - start).to_pylist()]
+            if held >= CHUNK_CHARS or end - start >= CHUNK_ROWS or end == len(lengths):
+                texts = column.slice(start, end - start).to_pylist()
+                yield keys.slice(start, end - start).to_pylist(), [t or "" for t in texts]
                 start, held = end, 0
 
 
