@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.draws import drawn
 from touchline.operators.skew import checked_broadcast, number_within, pairs_within
 from touchline.session import cut_lineage
 
@@ -79,11 +80,6 @@ def bridges(edges: DataFrame, seeds: Sequence[int], target: int, k: int) -> Data
     return found
 
 
-def _drawn(*parts) -> Column:
-    """A non-negative long that depends on the parts alone, the same in every engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, 15), 16, 10).cast("long")
-
-
 def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFrame:
     """Hash-seeded random walks: (start, walk, path).
 
@@ -103,7 +99,7 @@ def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFr
     )
     for i in range(1, length):
         state = (
-            state.withColumn("pos", _drawn("start", "walk", F.lit(i), F.lit(seed)) % F.col("degree"))
+            state.withColumn("pos", drawn("start", "walk", F.lit(i), F.lit(seed)) % F.col("degree"))
             .join(steps, ["node", "pos"])
             .select(
                 "start", "walk", F.col("dst").alias("node"), F.col("dst_degree").alias("degree"),
@@ -135,7 +131,7 @@ def node_embed(edges: DataFrame, size: int = 8, rounds: int = 3, seed: int = 0)
     )
     scaled = cut_lineage(scaled)
     names = [f"x{j}" for j in range(size)]
-    first = [(_drawn("src", F.lit(j), F.lit(seed)) % 3 - 1).cast("double").alias(n) for j, n in enumerate(names)]
+    first = [(drawn("src", F.lit(j), F.lit(seed)) % 3 - 1).cast("double").alias(n) for j, n in enumerate(names)]
     state = strength.select(F.col("src").alias("dst"), *first)
     for _ in range(rounds):
         state = cut_lineage(

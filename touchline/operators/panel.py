@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from touchline.functions.draws import drawn
 from touchline.operators.skew import (
     HALO,
     checked_broadcast,
@@ -244,7 +245,7 @@ def top_regions(contrast: DataFrame, k: int) -> DataFrame:
 
 def split_half(panel: DataFrame, seed: int = 0) -> DataFrame:
     """Per subject: correlation of its edges between two halves of its samples."""
-    half = F.pmod(F.xxhash64("subject", "t", F.lit(seed)), F.lit(2)).cast("int")
+    half = (drawn("subject", "t", F.lit(seed)) % 2).cast("int")
     r = pair_corr(panel.withColumn("half", half), keys=("subject", "half"))
     wide = r.groupBy("subject", "src", "dst").agg(
         *[F.max(F.when(F.col("half") == h, F.col("r"))).alias(f"r{h}") for h in (0, 1)]
@@ -259,10 +260,10 @@ def permute(edges: DataFrame, groups: DataFrame, rounds: int, seed: int = 0, val
     group 1 is summed per round; group 0 is the rest of the edge's total.
     """
     n1 = groups.filter("grp = 1").count()
-    drawn = groups.select("subject", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn(
-        "_h", F.xxhash64("subject", "round", F.lit(seed))
+    turns = groups.select("subject", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn(
+        "_h", drawn("subject", "round", F.lit(seed))
     )
-    ranked = number_within(drawn, ["round"], "_h", 1 << 54, "_rank")
+    ranked = number_within(turns, ["round"], "_h", 1 << 54, "_rank")
     chosen = ranked.filter(F.col("_rank") < n1).select("subject", "round")
     x = F.col(value)
     rows = edges.join(checked_broadcast(groups), "subject").filter(x.isNotNull())
@@ -288,7 +289,7 @@ def permute(edges: DataFrame, groups: DataFrame, rounds: int, seed: int = 0, val
         .groupBy("src", "dst", "t")
         .agg(
             F.count("_t").alias("rounds"),
-            ((1 + F.sum((F.col("_t") >= F.abs("t") - 1e-12).cast("long"))) / (1 + F.count("_t"))).alias("p"),
+            ((1 + F.sum((F.col("_t") >= F.abs("t") * (1 - 1e-9)).cast("long"))) / (1 + F.count("_t"))).alias("p"),
         )
     )
 

@@ -84,7 +84,33 @@ contrast AS (SELECT src, dst, n1, n0, mean1, mean0, (mean1 - mean0) / sqrt(v1 /
     var_samp(r) FILTER (subject % 2 = 1) AS v1, var_samp(r) FILTER (subject % 2 = 0) AS v0 FROM r GROUP BY 1, 2)
   WHERE n1 > 1 AND n0 > 1)"""
 
+
+def _draw(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 15) AS bigint)"
+
+
+def _group(name: str, join: str) -> str:
+    return f"""{name} AS (SELECT r.src, r.dst, k.round, count(*) AS n, avg(r.r) AS m, var_samp(r.r) AS v
+        FROM r CROSS JOIN k {join} WHERE r.r IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
 ORACLE = {
+    "split_half": f"""{_P}, h AS (SELECT *, {_draw("subject", "t", "0")} % 2 AS half FROM panel),
+      c AS (SELECT a.subject, a.region AS src, b.region AS dst, a.half, CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN corr(a.x, b.x) END AS r FROM h a JOIN h b
+        ON a.subject = b.subject AND a.half = b.half AND a.t = b.t AND a.region < b.region GROUP BY 1, 2, 3, 4),
+      w AS (SELECT subject, src, dst, max(r) FILTER (half = 0) AS r0, max(r) FILTER (half = 1) AS r1 FROM c GROUP BY 1, 2, 3)
+      SELECT subject, count(*) AS n_edges, round(corr(r0, r1), 6) + 0.0 AS stability FROM w GROUP BY subject""",
+    "permute": f"""{_P},{_CONTRAST}, g AS (SELECT DISTINCT subject, subject % 2 AS grp FROM panel),
+      k AS (SELECT unnest(range(1, {ROUNDS} + 1)) AS round),
+      d AS (SELECT subject, round, row_number() OVER (PARTITION BY round ORDER BY {_draw("subject", "round", "0")}) AS rk FROM g, k),
+      chosen AS (SELECT subject, round FROM d WHERE rk <= (SELECT count(*) FROM g WHERE grp = 1)),
+      {_group("one", "JOIN chosen USING (subject, round)")},
+      {_group("zero", "ANTI JOIN chosen ON chosen.subject = r.subject AND chosen.round = k.round")},
+      drawn AS (SELECT src, dst, abs((one.m - zero.m) / sqrt(one.v / one.n + zero.v / zero.n)) AS dt
+        FROM one JOIN zero USING (src, dst, round) WHERE one.n > 1 AND zero.n > 1)
+      SELECT src, dst, round(t, 6) AS t, count(dt) AS rounds,
+        round((1 + count(*) FILTER (dt >= abs(t) * (1 - 1e-9))) / (1 + count(dt)), 6) AS p
+      FROM contrast LEFT JOIN drawn USING (src, dst) GROUP BY src, dst, t""",
     "pair_corr": f"{_P} SELECT subject, src, dst, n, round(r, 6) AS r FROM r",
     "sliding_corr": f"""{_P}, p AS (SELECT a.subject, a.region AS src, b.region AS dst, a.t, a.x AS xa, b.x AS xb
         FROM panel a JOIN panel b ON a.subject = b.subject AND a.t = b.t AND a.region < b.region)
