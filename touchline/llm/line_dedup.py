@@ -39,6 +39,7 @@ BUCKET_BITS, TOKEN_BITS = 16, 44
 class Settings:
     similarity: float = 0.8
     min_tokens: int = 5
+    passes: int = 4  # the join takes the words in so many turns, which divides its shuffle
 
     @property
     def mille(self) -> int:
@@ -155,9 +156,9 @@ def line_table(docs: DataFrame, ranks: np.ndarray, s: Settings) -> DataFrame:
     return map_chunks(docs.filter("doc_id IS NOT NULL"), make, schema)
 
 
-def candidates(sets: DataFrame, s: Settings) -> DataFrame:
+def candidates(sets: DataFrame, s: Settings, turn: int) -> DataFrame:
     """Pairs of sets (a, b) that the prefix, size and position filters and the signatures
-    leave, with their sizes and first places."""
+    leave, with their first places, for the words of one turn."""
 
     def postings(share_num: int, share_den: int):
         def run(batches):
@@ -168,7 +169,7 @@ def candidates(sets: DataFrame, s: Settings) -> DataFrame:
                 reach = sizes - (share_num * sizes + share_den - 1) // share_den + 1
                 row = np.repeat(np.arange(len(sizes)), full)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)
-                use = place < reach[row]
+                use = (place < reach[row]) & (held % s.passes == turn)
                 row, place = row[use], place[use]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -254,8 +255,14 @@ def removed_lines(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         )
     )
     release(docs)
-    pairs = stored(candidates(sets, s))
-    release(docs)
+    parts = []
+    for turn in range(s.passes):
+        parts.append(stored(candidates(sets, s, turn)))
+        release(docs)
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.union(part)
+    pairs = pairs.distinct()
     ends = [pairs.select(F.col(x).alias("name"), f"{x}_first.*") for x in ("a", "b")]
     words = stored(tokens_of(docs, ends[0].union(ends[1]).distinct(), ranks))
     release(docs)
