@@ -370,6 +370,38 @@ def test_near_passages_of_the_least_length(spark):
     assert all(a - b == 1 and a % 2 for a, b in found)
 
 
+def behind_templates(rng, trials):
+    """Three texts each: the last two share a passage, of which the first holds only the start."""
+    rows, i = [], 0
+    for n, led in ((51, 45), (51, 48), (51, 49), (55, 49)):
+        for _ in range(trials):
+            core = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+            for held in (core[:led], core, core):
+                around = [f"w{x}" for x in rng.integers(0, 1 << 40, 80)]
+                rows.append((i, " ".join([*around[:40], *held, *around[40:]])))
+                i += 1
+    return rows
+
+
+@pytest.mark.parametrize("turn", [100_000, 50])
+def test_passages_behind_a_shorter_template(spark, turn, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TURN", turn)
+    monkeypatch.setattr(substring_dedup, "TURN_SHARE", 0)
+    rows = behind_templates(np.random.default_rng(12), 50)
+    found = {(r.doc_id, r.source) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i + 2, i + 1) for i in range(0, len(rows), 3)}
+
+
+def test_chains_of_near_copies(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{x}" for x in rng.integers(0, 1 << 40, 60)]
+    links = [words, [*words[:25], "x", *words[26:]], [*words[:25], "x", *words[26:40], "y", *words[41:]]]
+    around = [[f"w{x}" for x in rng.integers(0, 1 << 40, 80)] for _ in links]
+    rows = [(i, " ".join([*a[:40], *w, *a[40:]])) for i, (w, a) in enumerate(zip(links, around, strict=True))]
+    found = {(r.doc_id, r.source) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, 0), (2, 1)} <= found
+
+
 def test_windows_are_those_of_the_definition():
     rng = np.random.default_rng(1)
     for n in (5, 30, 60):
