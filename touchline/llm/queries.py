@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from touchline.llm.byte_bpe import op8_byte_bpe
 from touchline.llm.extraction import op4_html_extraction
+from touchline.llm.filter_audit import OP12_SQL, op12_filter_audit
 from touchline.llm.line_dedup import op5_line_dedup
 from touchline.llm.neighbours import op7_neighbours
 from touchline.llm.packing import op1_packing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op12_filter_audit": OP12_SQL}
