@@ -9,6 +9,7 @@ from touchline.llm.line_dedup import op5_line_dedup
 from touchline.llm.neighbours import op7_neighbours
 from touchline.llm.packing import op1_packing
 from touchline.llm.quality import OP2_SQL, op2_quality_rules
+from touchline.llm.sentence_pieces import op13_sentence_pieces
 from touchline.llm.simhash import op3_simhash
 from touchline.llm.substring_dedup import op6_substring_dedup
 from touchline.llm.token_counts import op9_token_counts
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op12_filter_audit": op12_filter_audit,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op12_filter_audit": OP12_SQL}
