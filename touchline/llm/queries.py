@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from touchline.llm.byte_bpe import op8_byte_bpe
+from touchline.llm.divergence import OP11_SQL, op11_source_divergence
 from touchline.llm.extraction import op4_html_extraction
 from touchline.llm.filter_audit import OP12_SQL, op12_filter_audit
 from touchline.llm.line_dedup import op5_line_dedup
@@ -26,7 +27,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op12_filter_audit": OP12_SQL}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+}
