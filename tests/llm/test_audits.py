@@ -1,4 +1,4 @@
-"""Filter interaction audit and sentence pieces."""
+"""Source divergence, filter interaction and sentence pieces."""
 
 import hashlib
 import random
@@ -7,12 +7,13 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from touchline.llm import copies, filter_audit, queries, sentence_pieces
+from touchline.llm import copies, divergence, filter_audit, queries, sentence_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LONG = " ".join(f"word{i % 7919} and{i % 31}" for i in range(30_000))
@@ -102,6 +103,63 @@ def test_a_third_of_the_rows_are_copies(spark, monkeypatch):
     assert failed.filter(F.col("doc_id") == least).isEmpty()
 
 
+# ---- source divergence ------------------------------------------------------
+
+
+def sources_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_divergence_of_edge_rows(spark, edges, monkeypatch):
+    monkeypatch.setattr(divergence, "TILE", 2)
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", 3)
+    r = random.Random(2)
+    words = ["Mill", "mill", "río", "naïve", "日本", "a", "don't", "x1y", "__", "Éa", "MILL", "tail"]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 9))), r.choice(["en", "fr", None]), r.choice("stuvwxyz")) for i in range(80)]
+    rows += [(200 + i, "one copied text of the mill", "en", "s" if i % 3 else "t") for i in range(40)]
+    rows += [(300, None, "xx", "a"), (301, "once", "xx", None), (302, "", "xx", "b"), (303, "mill", "yy", "alone")]
+    docs = sources_of(spark, rows)
+    found = against_sql(divergence.divergence(docs).collect(), queries.ORACLE["op11_source_divergence"], documents=docs)
+    assert {x[4] for x in found if x[0] == "xx"} == {0}  # no kept term: only pairs of value 0
+    assert divergence.divergence(docs.limit(0)).count() == 0
+    clashing = edges.withColumns({"term": F.lit("t"), "i": F.lit(1), "by": F.lit(2), "sources": F.lit(3), "raw": F.lit(4)})
+    plain = edges.select("doc_id", "text", "lang", "source")
+    against_sql(divergence.divergence(clashing).collect(), queries.ORACLE["op11_source_divergence"], documents=plain)
+
+
+def test_divergence_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = queries.QUERIES["op11_source_divergence"](spark, sf_dir).collect()
+    against_sql(rows, queries.ORACLE["op11_source_divergence"], documents=docs)
+
+
+def test_many_sources_and_a_hot_one(spark):
+    # 150 sources make three tiles; a third of the rows belong to one of them.
+    r = random.Random(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(i, " ".join(r.choices(words, k=12)), "en", "hot" if i % 3 == 0 else f"s{i % 149}") for i in range(900)]
+    docs = sources_of(spark, rows)
+    against_sql(divergence.divergence(docs).collect(), queries.ORACLE["op11_source_divergence"], documents=docs)
+
+
+def test_counters_are_emitted_early_and_values_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_TERMS", 4)
+    texts = [b"a b c d e f", b"a a q", b"x y z", b"g h i j k l m n o"]
+    batch = pa.RecordBatch.from_pydict(
+        {"lang": ["en"] * 4, "raw": pa.array(texts, pa.binary()),
+         "sources": [[{"source": "s", "n": 2}], [{"source": "s", "n": 1}, {"source": "t", "n": 3}], [], [{"source": "t", "n": 1}]]}
+    )
+    out = list(divergence._count(iter([batch])))
+    assert len(out) > 2
+    total = Counter()
+    for part in out:
+        for x in part.to_pylist():
+            total[x["source"], x["term"]] += x["n"] * 1000 + x["df"]
+    assert total["s", "a"] == 4003 and total["t", "a"] == 6003 and total["t", "g"] == 1001 and ("t", "x") not in total
+    big = spark.createDataFrame([(9 * 10**17, 9 * 10**18 - 5, 7)], "c long, n long, v long")
+    assert big.select(divergence.smoothed("c", "n", "v")).first()[0] == 1 + 10**9 * (9 * 10**17 + 1) // (9 * 10**18 + 2)
+
+
 # ---- sentence pieces --------------------------------------------------------
 
 
