@@ -1,9 +1,9 @@
 """Connectivity of long panels (subject, region, t, x), one row per sample.
 
-Pairwise statistics are sums of products. Rows are grouped by (subject, block
-of time); each group becomes one small matrix product, so that a task emits
-one partial sum per region pair and block instead of one row per pair and
-sample. A subject with most of the rows is spread over its blocks.
+Pairwise statistics are sums of products over tiles of regions and blocks of time
+(see `tiles`), so a task emits one partial sum per region pair instead of one row
+per pair and sample, and a subject with most of the rows is spread over its tiles
+and blocks.
 """
 
 from __future__ import annotations
@@ -12,141 +12,142 @@ from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.draws import drawn
-from touchline.operators.skew import (
-    HALO,
-    checked_broadcast,
-    number_within,
-    pairs_within,
-    split_hot,
-    with_halo,
-)
-
-BLOCK = 1024
-_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
+from touchline.operators.permutation import permutation_test
+from touchline.operators.skew import checked_broadcast
+from touchline.operators.tiles import BLOCK, TILE, Cell, Part, over_cells, products, sent
 
-def standardise(panel: DataFrame) -> DataFrame:
-    """x as z-score of its (subject, region) series, population standard deviation."""
-    stats = panel.groupBy("subject", "region").agg(
-        F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s")
-    )
-    scaled = (F.col("x") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
-    return panel.join(checked_broadcast(stats), ["subject", "region"]).withColumn("x", scaled).drop("_m", "_s")
+_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+SURE = 1e-9  # share of a block's variance below which a window's is summed anew
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(times, regions, values with 0 for gaps, presence mask)."""
-    wide = pdf.pivot(index="t", columns="region", values="x")
-    values = wide.to_numpy(dtype="float64")
-    present = ~np.isnan(values)
-    return wide.index.to_numpy(), wide.columns.to_numpy(), np.where(present, values, 0.0), present.astype("float64")
+def _moments(a: Part, b: Part, _before: np.ndarray) -> dict[str, np.ndarray]:
+    return {
+        "n": a.m.T @ b.m, "sx": a.v.T @ b.m, "sy": a.m.T @ b.v,
+        "sxx": (a.v * a.v).T @ b.m, "syy": a.m.T @ (b.v * b.v), "sxy": a.v.T @ b.v,
+    }
 
 
-def _pair_frame(regions: np.ndarray, sums: dict[str, np.ndarray], ordered: bool) -> pd.DataFrame:
-    """Upper triangle (or all ordered pairs) of square sum matrices as rows."""
-    size = len(regions)
-    i, j = np.nonzero(~np.eye(size, dtype=bool)) if ordered else np.triu_indices(size, 1)
-    return pd.DataFrame(
-        {"src": regions[i], "dst": regions[j]} | {name: m[i, j] for name, m in sums.items()}
-    )
+def _r(x: str = "x", y: str = "y") -> Column:
+    """Pearson r from the sums."""
+    n, sx, sy = F.col("n"), F.col(f"s{x}"), F.col(f"s{y}")
+    vx = n * F.col(f"s{x}{x}") - sx * sx
+    vy = n * F.col(f"s{y}{y}") - sy * sy
+    return F.when((vx > 0) & (vy > 0), (n * F.col(f"s{x}{y}") - sx * sy) / F.sqrt(vx * vy))
 
 
-def _block_sums(
-    z: DataFrame, keys: Sequence[str], fn: Callable, names: Sequence[str], ordered: bool = False
-) -> DataFrame:
-    """Sum `fn`'s matrices over the blocks of each key: (keys, src, dst, names)."""
-    keys = list(keys)
-    schema = ", ".join(
-        [f"{k} {dict(z.dtypes)[k]}" for k in keys] + ["src string", "dst string"] + [f"{c} double" for c in names]
-    )
+def pair_corr(panel: DataFrame, keys: Sequence[str] = ("subject",), tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """Functional connectivity: Pearson r of each region pair over common samples."""
+    sums = products(panel, keys, _MOMENTS, _moments, tile=tile, block=block)
+    return sums.select(*keys, "src", "dst", F.col("n").cast("long").alias("n"), _r().alias("r"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _pair_frame(*fn(pdf), ordered)
-        for name, value in zip(reversed(keys), reversed(key[:-1]), strict=True):
-            out.insert(0, name, value)
-        return out
 
-    partial = z.groupBy(*keys, "block").applyInPandas(run, schema)
-    return partial.groupBy(*keys, "src", "dst").agg(*[F.sum(c).alias(c) for c in names])
+def _corr(x: str, y: str, over: Callable = lambda c: c) -> Column:
+    """Pearson r of the rows that have both, null without variance."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(over(F.covar_pop(a, b)), over(F.stddev_pop(a)) * over(F.stddev_pop(b)))
 
 
-def _with_block(z: DataFrame, block: int) -> DataFrame:
-    return z.withColumn("block", F.floor(F.col("t") / block).cast("long"))
+def _rolling_r(x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
+    """r over each `w` neighbours: differences of running sums."""
+    x, y = x - x.mean(), y - y.mean()
 
+    def over(values: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(values)])
+        return sums[w:] - sums[:-w]
 
-def _moments(pdf: pd.DataFrame):
-    _, regions, v, m = _matrix(pdf)
-    v2 = v * v
-    return regions, {
-        "n": m.T @ m, "sx": v.T @ m, "sy": m.T @ v, "sxx": v2.T @ m, "syy": m.T @ v2, "sxy": v.T @ v,
-    }
+    sx, sy = over(x), over(y)
+    vx, vy, vxy = over(x * x) - sx * sx / w, over(y * y) - sy * sy / w, over(x * y) - sx * sy / w
+    # Differences of long sums say little about windows that hardly move.
+    for k in np.flatnonzero((vx <= SURE * (x @ x)) | (vy <= SURE * (y @ y))):
+        dx, dy = x[k : k + w] - x[k : k + w].mean(), y[k : k + w] - y[k : k + w].mean()
+        flat = np.ptp(x[k : k + w]) == 0 or np.ptp(y[k : k + w]) == 0
+        vx[k], vy[k], vxy[k] = (0.0, 0.0, 0.0) if flat else (dx @ dx, dy @ dy, dx @ dy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((vx > 0) & (vy > 0), vxy / np.sqrt(vx * vy), np.nan)
 
 
-def _r(x: str = "x", y: str = "y") -> Column:
-    """Pearson r from the sums."""
-    n, sx, sy = F.col("n"), F.col(f"s{x}"), F.col(f"s{y}")
-    vx = n * F.col(f"s{x}{x}") - sx * sx
-    vy = n * F.col(f"s{y}{y}") - sy * sy
-    return F.when((vx > 0) & (vy > 0), (n * F.col(f"s{x}{y}") - sx * sy) / F.sqrt(vx * vy))
+def _common(cell: Cell):
+    """Every pair of the cell and its common samples, in the order of time."""
+    for i in range(len(cell.a.regions)):
+        for j in range(i + 1 if cell.a is cell.b else 0, len(cell.b.regions)):
+            at = np.flatnonzero(cell.a.m[:, i] * cell.b.m[:, j])
+            if len(at):
+                yield cell.a.regions[i], cell.b.regions[j], cell.times[at], cell.a.v[at, i], cell.b.v[at, j]
 
 
-def pair_corr(panel: DataFrame, keys: Sequence[str] = ("subject",), block: int = BLOCK) -> DataFrame:
-    """Functional connectivity: Pearson r of each region pair over common samples."""
-    z = _with_block(standardise(panel), block)
-    sums = _block_sums(z, keys, _moments, _MOMENTS)
-    return sums.filter("n > 0").select(*keys, "src", "dst", F.col("n").cast("long").alias("n"), _r().alias("r"))
+def _rows(found: list[tuple], names: Sequence[str]) -> dict[str, np.ndarray]:
+    """Pairs with arrays of equal length as columns."""
+    sizes = [len(f[2]) for f in found]
+    out = {c: np.repeat(np.array([f[k] for f in found], dtype=object), sizes) for k, c in enumerate(("src", "dst"))}
+    for k, c in enumerate(names, 2):
+        out[c] = np.concatenate([f[k] for f in found]) if found else np.zeros(0)
+    return out
 
 
-def sliding_corr(panel: DataFrame, w: int, grain: int = BLOCK) -> DataFrame:
+def sliding_corr(panel: DataFrame, w: int, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Dynamic connectivity: r over the last `w` common samples, null before there are `w`.
 
-    The result has a row per pair and sample, so pairs are formed per sample.
+    A window inside a block is settled by the task that holds the block. Of windows
+    that reach back into earlier blocks only the samples that they need are
+    shuffled: of each pair and block the first and the last w - 1 common ones.
     """
-    pairs = pairs_within(panel, ["subject", "t"], "region").select(
-        "subject", F.col("region_a").alias("src"), F.col("region_b").alias("dst"), "t", "x_a", "x_b"
-    )
-    pairs, chunks = split_hot(pairs, ["subject", "src", "dst"], "t", grain)
-    rows = with_halo(pairs, chunks, [], w - 1)
-    frame = W.partitionBy(*chunks.part).orderBy("t").rowsBetween(-w + 1, 0)
-    r = F.when(F.count("*").over(frame) == w, F.corr("x_a", "x_b").over(frame))
-    return rows.withColumn("r", r).filter(~F.col(HALO)).select("subject", "src", "dst", "t", "r")
-
-
-def granger1(panel: DataFrame, block: int = BLOCK) -> DataFrame:
+    keys = ["subject"]
+    rows = sent(panel, keys, tile, block, scaled=False)
+
+    def settled(cell: Cell) -> dict[str, np.ndarray]:
+        found = []
+        for src, dst, t, x, y in _common(cell):
+            r = np.full(len(t), np.nan)
+            if len(t) >= w:
+                r[w - 1 :] = _rolling_r(x, y, w)
+            # Without an earlier block the first samples have no full window.
+            start = 0 if cell.block == cell.first else min(w - 1, len(t))
+            found.append((src, dst, t[start:], r[start:]))
+        return _rows(found, ("t", "r"))
+
+    def open_ends(cell: Cell) -> dict[str, np.ndarray]:
+        found = []
+        for src, dst, t, x, y in _common(cell):
+            k = np.arange(len(t))
+            head = (k < w - 1) & (cell.block > cell.first)
+            need = head | ((k >= len(t) - w + 1) & (cell.block < cell.last))
+            found.append((src, dst, t[need], x[need], y[need], head[need]))
+        return _rows(found, ("t", "x_a", "x_b", "head"))
+
+    pair = "src string, dst string, t long"
+    inside = over_cells(rows, keys, f"{pair}, r double", settled)
+    ends = over_cells(rows, keys, f"{pair}, x_a double, x_b double, head boolean", open_ends)
+    frame = W.partitionBy(*keys, "src", "dst").orderBy("t").rowsBetween(-w + 1, 0)
+    r = F.when(F.count("*").over(frame) == w, _corr("x_a", "x_b", lambda c: c.over(frame)))
+    across = ends.withColumn("r", r).filter("head").select(*keys, "src", "dst", "t", "r")
+    return inside.withColumn("r", F.when(~F.isnan("r"), F.col("r"))).unionByName(across)
+
+
+def granger1(panel: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Lag-1 Granger F of src -> dst, from restricted and full regression of dst.
 
     The sample is the times t at which dst is known at t and both at t - 1.
     """
-    z = standardise(panel)
-    home = F.floor(F.col("t") / block).cast("long")
-    # The last sample of a block is the lag of the next block's first one.
-    z = z.withColumn("block", F.explode(F.array_distinct(F.array(home, F.floor((F.col("t") + 1) / block).cast("long")))))
     names = ("n", "sa", "sb", "sc", "saa", "sbb", "scc", "sab", "sac", "sbc")
 
-    def sums(pdf: pd.DataFrame):
-        # a = dst now, b = dst before, c = src before; rows src, columns dst.
-        t, regions, v, m = _matrix(pdf)
-        start = int(pdf["block"].iloc[0]) * block
-        at = {time: i for i, time in enumerate(t)}
-        pick = [(i, at[time - 1]) for i, time in enumerate(t) if time >= start and time - 1 in at]
-        now = np.array([i for i, _ in pick], dtype=int)
-        before = np.array([j for _, j in pick], dtype=int)
-        a, b, c, mc = v[now], v[before], v[before], m[before]
-        both = m[now] * m[before]
-        a, b = a * both, b * both
-        return regions, {
+    def sums(src: Part, dst: Part, before: np.ndarray) -> dict[str, np.ndarray]:
+        # a = dst now, b = dst before, c = src before.
+        now = np.flatnonzero(before >= 0)
+        then = before[now]
+        both = dst.m[now] * dst.m[then]
+        a, b, c, mc = dst.v[now] * both, dst.v[then] * both, src.v[then], src.m[then]
+        return {
             "n": mc.T @ both, "sa": mc.T @ a, "sb": mc.T @ b, "sc": c.T @ both,
             "saa": mc.T @ (a * a), "sbb": mc.T @ (b * b), "scc": (c * c).T @ both,
             "sab": mc.T @ (a * b), "sac": c.T @ a, "sbc": c.T @ b,
         }
 
-    rows = _block_sums(z, ["subject"], sums, names, ordered=True).select(
+    rows = products(panel, ["subject"], names, sums, ordered=True, lag=1, tile=tile, block=block).select(
         "subject", "src", "dst", "n", _r("a", "b").alias("_a"), _r("a", "c").alias("_b"), _r("b", "c").alias("_c")
     )
     a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
@@ -156,19 +157,15 @@ def granger1(panel: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.filter("n > 3").select("subject", "src", "dst", F.col("n").cast("long").alias("n"), f.alias("f"))
 
 
-def pair_direction(panel: DataFrame, block: int = BLOCK) -> DataFrame:
+def pair_direction(panel: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Pairwise likelihood-ratio direction; positive means src -> dst (sparse noise)."""
-    z = _with_block(standardise(panel), block)
 
-    def sums(pdf: pd.DataFrame):
-        regions, found = _moments(pdf)
-        _, _, v, _ = _matrix(pdf)
-        h = np.tanh(v)
-        return regions, found | {"sxh": v.T @ h, "shy": h.T @ v}
+    def sums(a: Part, b: Part, before: np.ndarray) -> dict[str, np.ndarray]:
+        return _moments(a, b, before) | {"sxh": a.v.T @ np.tanh(b.v), "shy": np.tanh(a.v).T @ b.v}
 
-    rows = _block_sums(z, ["subject"], sums, (*_MOMENTS, "sxh", "shy"))
+    rows = products(panel, ["subject"], (*_MOMENTS, "sxh", "shy"), sums, tile=tile, block=block)
     score = _r() * (F.col("sxh") - F.col("shy")) / F.col("n")
-    return rows.filter("n > 0").select("subject", "src", "dst", F.col("n").cast("long").alias("n"), score.alias("score"))
+    return rows.select("subject", "src", "dst", F.col("n").cast("long").alias("n"), score.alias("score"))
 
 
 def pc_skeleton(corr: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -244,54 +241,20 @@ def top_regions(contrast: DataFrame, k: int) -> DataFrame:
 
 
 def split_half(panel: DataFrame, seed: int = 0) -> DataFrame:
-    """Per subject: correlation of its edges between two halves of its samples."""
+    """Per subject: correlation of its edges between two halves of its samples. Edges that
+    differ by rounding alone count as equal."""
     half = (drawn("subject", "t", F.lit(seed)) % 2).cast("int")
     r = pair_corr(panel.withColumn("half", half), keys=("subject", "half"))
     wide = r.groupBy("subject", "src", "dst").agg(
-        *[F.max(F.when(F.col("half") == h, F.col("r"))).alias(f"r{h}") for h in (0, 1)]
+        *[F.max(F.when(F.col("half") == h, F.round("r", 9))).alias(f"r{h}") for h in (0, 1)]
     )
-    return wide.groupBy("subject").agg(F.count("*").alias("n_edges"), F.corr("r0", "r1").alias("stability"))
+    return wide.groupBy("subject").agg(F.count("*").alias("n_edges"), _corr("r0", "r1").alias("stability"))
 
 
 def permute(edges: DataFrame, groups: DataFrame, rounds: int, seed: int = 0, value: str = "r") -> DataFrame:
-    """Permutation p of the group contrast per edge, group sizes kept.
-
-    In each round the subjects are relabelled in the order of a hash. Only
-    group 1 is summed per round; group 0 is the rest of the edge's total.
-    """
-    n1 = groups.filter("grp = 1").count()
-    turns = groups.select("subject", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn(
-        "_h", drawn("subject", "round", F.lit(seed))
-    )
-    ranked = number_within(turns, ["round"], "_h", 1 << 54, "_rank")
-    chosen = ranked.filter(F.col("_rank") < n1).select("subject", "round")
-    x = F.col(value)
-    rows = edges.join(checked_broadcast(groups), "subject").filter(x.isNotNull())
-    totals = rows.groupBy("src", "dst").agg(
-        F.count("*").alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q")
-    )
-    picked = (
-        rows.join(checked_broadcast(chosen), "subject")
-        .groupBy("src", "dst", "round")
-        .agg(F.count("*").alias("n1"), F.sum(x).alias("s1"), F.sum(x * x).alias("q1"))
-        .join(checked_broadcast(totals), ["src", "dst"])
-    )
-
-    def mean_var(n: Column, s: Column, q: Column) -> tuple[Column, Column, Column]:
-        return s / n, (q - s * s / n) / (n - 1), n
-
-    one = mean_var(F.col("n1"), F.col("s1"), F.col("q1"))
-    zero = mean_var(F.col("_n") - F.col("n1"), F.col("_s") - F.col("s1"), F.col("_q") - F.col("q1"))
-    drawn_t = picked.filter("n1 > 1 AND _n - n1 > 1").select("src", "dst", F.abs(_welch(*one, *zero)).alias("_t"))
-    observed = edge_contrast(edges, groups, value)
-    return (
-        observed.join(drawn_t, ["src", "dst"], "left")
-        .groupBy("src", "dst", "t")
-        .agg(
-            F.count("_t").alias("rounds"),
-            ((1 + F.sum((F.col("_t") >= F.abs("t") * (1 - 1e-9)).cast("long"))) / (1 + F.count("_t"))).alias("p"),
-        )
-    )
+    """Permutation p of the group contrast per edge, group sizes kept. In each round
+    the subjects are relabelled in the order of a hash."""
+    return permutation_test(edges, groups, rounds, seed, value)
 
 
 def edge_agreement(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:

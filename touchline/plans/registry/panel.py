@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from touchline.operators import panel as pn
 from touchline.plans.registry.common import rounded
-from touchline.sources.derived import panel
+from touchline.sources.derived import BIN_HOURS, panel
 
-WINDOW, K, F_MIN, ROUNDS = 12, 3, 1.0, 99
+WINDOW, K, F_MIN, ROUNDS = 4, 3, 1.0, 99
 ALPHA_PC = 0.6  # loose, so that the noise of the test tables leaves edges to compare
 ZPC = NormalDist().inv_cdf(1 - ALPHA_PC / 2)
 
@@ -57,12 +57,12 @@ QUERIES = {
     "edge_agreement": agreement,
 }
 
-_P = """WITH panel AS (
-  SELECT user_id % 5 AS subject, event_type AS region,
-    CAST((date_part('day', ts) - 1) * 4 + floor(hour(ts) / 6) AS bigint) AS t, avg(value) AS x
+_P = f"""WITH panel AS (
+  SELECT user_id AS subject, event_type AS region,
+    CAST(floor((date_diff('day', DATE '2024-01-01', CAST(ts AS date)) * 24 + hour(ts)) / {BIN_HOURS}) AS bigint) AS t, avg(value) AS x
   FROM events GROUP BY 1, 2, 3),
-z AS (SELECT subject, region, t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM panel WINDOW w AS (PARTITION BY subject, region)),
-r AS (SELECT a.subject, a.region AS src, b.region AS dst, count(*) AS n, corr(a.x, b.x) AS r
+z AS (SELECT subject, region, t, (x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w > 0 THEN stddev_pop(x) OVER w ELSE 1 END AS x FROM panel WINDOW w AS (PARTITION BY subject, region)),
+r AS (SELECT a.subject, a.region AS src, b.region AS dst, count(*) AS n, nullif(corr(a.x, b.x), 'nan') AS r
   FROM panel a JOIN panel b ON a.subject = b.subject AND a.t = b.t AND a.region < b.region GROUP BY 1, 2, 3)"""
 
 _GRANGER = """
@@ -74,7 +74,7 @@ granger AS (SELECT subject, src, dst, n, (fu - a * a) / ((1 - fu) / (n - 3)) AS
 
 _DIRECTION = """
 direction AS (SELECT a.subject, a.region AS src, b.region AS dst, count(*) AS n,
-    corr(a.x, b.x) * avg(a.x * tanh(b.x) - tanh(a.x) * b.x) AS score
+    nullif(corr(a.x, b.x), 'nan') * avg(a.x * tanh(b.x) - tanh(a.x) * b.x) AS score
   FROM z a JOIN z b ON a.subject = b.subject AND a.t = b.t AND a.region < b.region GROUP BY 1, 2, 3)"""
 
 _CONTRAST = """
@@ -96,10 +96,10 @@ def _group(name: str, join: str) -> str:
 
 ORACLE = {
     "split_half": f"""{_P}, h AS (SELECT *, {_draw("subject", "t", "0")} % 2 AS half FROM panel),
-      c AS (SELECT a.subject, a.region AS src, b.region AS dst, a.half, CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN corr(a.x, b.x) END AS r FROM h a JOIN h b
+      c AS (SELECT a.subject, a.region AS src, b.region AS dst, a.half, nullif(corr(a.x, b.x), 'nan') AS r FROM h a JOIN h b
         ON a.subject = b.subject AND a.half = b.half AND a.t = b.t AND a.region < b.region GROUP BY 1, 2, 3, 4),
-      w AS (SELECT subject, src, dst, max(r) FILTER (half = 0) AS r0, max(r) FILTER (half = 1) AS r1 FROM c GROUP BY 1, 2, 3)
-      SELECT subject, count(*) AS n_edges, round(corr(r0, r1), 6) + 0.0 AS stability FROM w GROUP BY subject""",
+      w AS (SELECT subject, src, dst, max(round(r, 9)) FILTER (half = 0) AS r0, max(round(r, 9)) FILTER (half = 1) AS r1 FROM c GROUP BY 1, 2, 3)
+      SELECT subject, count(*) AS n_edges, round(nullif(corr(r0, r1), 'nan'), 6) + 0.0 AS stability FROM w GROUP BY subject""",
     "permute": f"""{_P},{_CONTRAST}, g AS (SELECT DISTINCT subject, subject % 2 AS grp FROM panel),
       k AS (SELECT unnest(range(1, {ROUNDS} + 1)) AS round),
       d AS (SELECT subject, round, row_number() OVER (PARTITION BY round ORDER BY {_draw("subject", "round", "0")}) AS rk FROM g, k),
@@ -119,7 +119,7 @@ ORACLE = {
     "granger1": f"{_P},{_GRANGER} SELECT subject, src, dst, n, round(f, 6) AS f FROM granger",
     "pair_direction": f"{_P},{_DIRECTION} SELECT subject, src, dst, n, round(score, 6) AS score FROM direction",
     "pc_skeleton": f"""{_P}, e AS (SELECT * FROM r WHERE n > 3 AND abs(atanh(r)) * sqrt(n - 3) > {ZPC}),
-      f AS (SELECT subject, src, dst, r, n FROM r UNION ALL SELECT subject, dst, src, r, n FROM r),
+      f AS (SELECT subject, src, dst, r, n FROM r WHERE r IS NOT NULL UNION ALL SELECT subject, dst, src, r, n FROM r WHERE r IS NOT NULL),
       k AS (SELECT subject, src, dst FROM e UNION ALL SELECT subject, dst, src FROM e),
       c AS (SELECT e.subject, e.src, e.dst FROM e
         JOIN f x ON x.subject = e.subject AND x.src = e.src AND x.dst <> e.dst
