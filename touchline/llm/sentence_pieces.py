@@ -13,9 +13,10 @@ An Aho-Corasick automaton over the pieces gives the longest piece at every place
 in one pass. Pieces that merging would not produce are left out of it. A
 character without a piece stands alone and becomes the pieces of its bytes.
 
-Normalising is the library's; a text falls into units (white space marks and what
-follows them) no piece crosses, so units seen before come from a table of bounded
-size. Both facts are checked when a model is loaded.
+Normalising is the library's. A text falls into units: white space marks and a run
+of characters that pieces join, directly or through others. No piece crosses the
+border of two units, so units seen before come from a table of bounded size. What
+pieces join is read from the model when it is loaded.
 
 Rows: null text counts as empty and gives the end id alone; repeated rows give
 repeated results; a null doc_id stays null; an empty table gives an empty one;
@@ -28,7 +29,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -39,10 +40,11 @@ from pyspark.sql import functions as F
 from touchline.llm.common import chunks, ids_and_texts
 
 MARK = "▁"  # fixed value: the library writes white space as this character
-KEPT_UNITS, LONGEST_KEPT = 500_000, 64
+KEPT_UNITS, LONGEST_KEPT = 400_000, 64  # two tables of units, of about 50 MB each
 KEPT_PAIRS = 1_000_000
 PART_CHARS = 1_000_000  # of a text, split into units together
-NONE = -1
+APART = "\uffff"  # fixed value: no character, so in no piece
+NONE, NEVER = -1, float("-inf")
 
 
 @lru_cache(maxsize=2)
@@ -70,8 +72,12 @@ class Pieces:
         own_ids = {model.id_to_piece(i): i for i in plain}
         # What may stand in an encoding: pieces that merging gives, and single characters.
         letters = sorted(set(chain.from_iterable(self.score)))
-        whole = [p for p in self.score if len(p) > 1 and self.merge(p) == [p]]
+        if APART in letters:
+            raise ValueError("the model has pieces of what is no character")
+        merged = {p: self.merge(p) for p in chain(letters, self.score)}
+        whole = [p for p in self.score if len(p) > 1 and merged[p][0] == [p]]
         self.forms = letters + whole
+        self.steps = [merged[f][1] for f in self.forms]
         self.ids = [array("I", [own_ids[f]] if f in own_ids else self.byte_ids(f)).tobytes() for f in self.forms]
         self.width = [len(f) for f in self.forms]
         place = {f: k for k, f in enumerate(self.forms)}
@@ -80,29 +86,46 @@ class Pieces:
         for form, k in place.items():
             self.automaton.add_word(form, k)
         self.automaton.make_automaton()
-        # Text falls apart before a mark that follows something else, and around
-        # characters that are in no longer piece.
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in whole):
-            raise ValueError("a piece crosses a white space mark")
-        inner = set(chain.from_iterable(whole))
-        alone = "".join(re.escape(c) for c in "\n\t\r0123456789" if c not in inner)
-        single = f"|[{alone}]" if alone else ""
-        self.unit = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+{single}")
+        self.unit = re.compile(self._units(whole))
+
+    @staticmethod
+    def _units(whole: list[str]) -> str:
+        """A pattern for units. Characters that some piece joins are in one class."""
+        kind: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while kind.setdefault(c, c) != c:
+                c = kind[c]
+            return c
+
+        for piece in whole:
+            for a, b in pairwise(piece):
+                if b == MARK != a:
+                    raise ValueError("a piece crosses a white space mark")
+                if a != MARK:
+                    kind[root(b)] = root(a)
+        classes: dict[str, list[str]] = {}
+        for c in kind:
+            classes.setdefault(root(c), []).append(c)
+        runs = ["[" + "".join(map(re.escape, sorted(k))) + "]+" for k in sorted(classes.values(), key=len, reverse=True)]
+        return f"{MARK}*(?:{'|'.join([*runs, f'[^{MARK}]'])})|{MARK}+"
 
     def byte_ids(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8")]
 
-    def merge(self, text: str) -> list[str]:
-        """The encoding by its definition, for short texts."""
-        parts = list(text)
+    def merge(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """The encoding by its definition, for short texts. Also, for every merge and for
+        the end, its score (NEVER at the end) and the first and last part before it."""
+        parts, steps = list(text), []
         while True:
-            best, at = None, NONE
+            best, at = NEVER, NONE
             for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
+                score = self.score.get(parts[i] + parts[i + 1], NEVER)
+                if score > best:
                     best, at = score, i
+            steps.append((best, parts[0], parts[-1]))
             if at == NONE:
-                return parts
+                return parts, steps
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     @staticmethod
@@ -114,21 +137,35 @@ class Pieces:
 
 
 class Segmenter:
-    """Finds the encoding of a unit by backtracking."""
+    """Finds the encoding of a text by backtracking."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.fitting: dict[tuple[int, int], bool] = {}
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether merging the characters of both again gives these two."""
-        known = self.fitting.get((left, right))
-        if known is None:
-            forms = self.pieces.forms
-            known = self.pieces.merge(forms[left] + forms[right]) == [forms[left], forms[right]]
-            if len(self.fitting) >= KEPT_PAIRS:
-                self.fitting.clear()
-            self.fitting[left, right] = known
+        """Whether merging the characters of both again gives these two: their own merges
+        go on side by side, the best first, unless one across the border is better.
+        Of equals the left one comes first."""
+        ours, theirs, score = self.pieces.steps[left], self.pieces.steps[right], self.pieces.score
+        i = j = 0
+        while True:
+            a, _, tail = ours[i]
+            b, head, _ = theirs[j]
+            across = score.get(tail + head, NEVER)
+            if across > a and across >= b and across != NEVER:
+                known = False
+                break
+            if a == b == NEVER:
+                known = True
+                break
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+        if len(self.fitting) >= KEPT_PAIRS:
+            self.fitting.clear()
+        self.fitting[left, right] = known
         return known
 
     def __call__(self, text: str) -> list[int]:
@@ -139,27 +176,32 @@ class Segmenter:
         for end, form in self.pieces.automaton.iter(text):  # ends ascend, so the longest comes last
             longest[end - width[form] + 1] = form
         hopeful = bytearray(b"\x01") * (size + 1)
+        known, fits = self.fitting.get, self.fits
         path: list[int] = []
-        at, form, fresh = 0, longest[0] if size else NONE, True
+        at, last = 0, NONE
         while at < size:
-            if fresh and form == NONE:  # no piece holds this character, so nothing merges with it
+            form = longest[at]
+            if form == NONE:  # no piece holds this character, so nothing merges with it
                 path.append(NONE)
-                at += 1
-            else:
-                last = path[-1] if path else NONE
-                while form != NONE and not (
-                    hopeful[at + width[form]] and (last == NONE or self.fits(last, form))
-                ):
+                at, last = at + 1, NONE
+                continue
+            while True:
+                while form != NONE:
+                    end = at + width[form]
+                    if hopeful[end]:
+                        fit = last == NONE or known((last, form))
+                        if fit or (fit is None and fits(last, form)):
+                            break
                     form = shorter[form]
-                if form == NONE:
-                    hopeful[at] = 0
-                    last = path.pop()
-                    at -= width[last]
-                    form, fresh = shorter[last], False
-                    continue
-                path.append(form)
-                at += width[form]
-            form, fresh = longest[at] if at < size else NONE, True
+                if form != NONE:
+                    break
+                # Nothing fits from here: try the piece before with its next shorter one.
+                hopeful[at] = 0
+                form = path.pop()
+                at -= width[form]
+                form, last = shorter[form], path[-1] if path else NONE
+            path.append(form)
+            at, last = end, form
         return path
 
 
@@ -170,17 +212,36 @@ class Encoder:
         self.model, self.pieces = load(path), Pieces(path)
         self.segment = Segmenter(self.pieces)
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _unit(self, unit: str) -> bytes:
-        ids, out, at = self.pieces.ids, [], 0
-        for form in self.segment(unit):
-            if form == NONE:
-                out.append(array("I", self.pieces.byte_ids(unit[at])).tobytes())
+    def _encoded(self, joined: str) -> list[bytes]:
+        """The ids of units that are joined by `APART`."""
+        ids, width, done, out, at = self.pieces.ids, self.pieces.width, [], [], 0
+        for form in self.segment(joined):
+            if form != NONE:
+                out.append(ids[form])
+                at += width[form]
+            elif joined[at] == APART:
+                done.append(b"".join(out))
+                out, at = [], at + 1
+            else:
+                out.append(array("I", self.pieces.byte_ids(joined[at])).tobytes())
                 at += 1
+        return [*done, b"".join(out)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode unseen units together. Units of the older table are taken from there."""
+        unseen = []
+        for unit in new:
+            ids = self.older.get(unit)
+            if ids is not None:
+                self.units[unit] = ids
+            elif APART in unit:
+                self.units[unit] = array("I", self.pieces.byte_ids(APART)).tobytes().join(self._encoded(unit))
             else:
-                out.append(ids[form])
-                at += self.pieces.width[form]
-        return b"".join(out)
+                unseen.append(unit)
+        if unseen:
+            self.units.update(zip(unseen, self._encoded(APART.join(unseen)), strict=True))
 
     def _parts(self, text: str) -> Iterator[str]:
         """A text in parts that end where a mark begins, so that none holds up much memory."""
@@ -197,16 +258,14 @@ class Encoder:
         packed = []
         for part in self._parts(self.model.normalize(text)):
             units = self.pieces.unit.findall(part)
-            new = set(units).difference(self.units)
-            for unit in new:
-                self.units[unit] = self._unit(unit)
+            new = list(set(units).difference(self.units))
+            self._learn(new)
             packed.append(b"".join(map(self.units.__getitem__, units)))
+            for unit in new:
+                if len(unit) > LONGEST_KEPT:
+                    del self.units[unit]
             if len(self.units) > KEPT_UNITS:
-                self.units.clear()
-            else:
-                for unit in new:
-                    if len(unit) > LONGEST_KEPT:
-                        del self.units[unit]
+                self.units, self.older = {}, self.units
         return b"".join(packed) + array("I", [self.pieces.end]).tobytes()
 
 
