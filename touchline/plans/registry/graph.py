@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import graph
+from touchline.operators import embedding, graph
 from touchline.plans.registry.common import rounded
 from touchline.session import cut_lineage
 from touchline.sources.derived import membership
@@ -12,6 +12,7 @@ from touchline.sources.derived import membership
 SEEDS, TARGET, HOPS = (1, 2, 3, 4, 5), 10, 4
 PER_NODE, LENGTH = 5, 6
 SIZE, EMBED_ROUNDS = 8, 3
+NEAR, SHIFT = 2, 1.25  # window of the walks, negative samples per pair
 
 
 def _strong(spark, sf_dir):
@@ -30,11 +31,23 @@ def _all(spark, sf_dir):
 
 
 def walked(spark, sf_dir):
-    found = graph.walks(_all(spark, sf_dir), PER_NODE, LENGTH)
-    return found.select("start", "walk", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+    return _paths(spark, sf_dir).select("start", "walk", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
 
 
-def embedding(spark, sf_dir):
+def _paths(spark, sf_dir):
+    return graph.walks(_all(spark, sf_dir), PER_NODE, LENGTH)
+
+
+def information(spark, sf_dir):
+    return rounded(embedding.shifted_pmi(embedding.window_pairs(_paths(spark, sf_dir), NEAR), SHIFT))
+
+
+def skip_gram(spark, sf_dir):
+    found = embedding.walk_vectors(cut_lineage(_paths(spark, sf_dir)), NEAR, SIZE, SHIFT)
+    return rounded(found.vectors.select("node", F.posexplode("vector").alias("dim", "x")))
+
+
+def embedded(spark, sf_dir):
     vectors = graph.node_embed(_all(spark, sf_dir), SIZE, EMBED_ROUNDS)
     return rounded(vectors.select("node", F.posexplode("vector").alias("dim", "x")))
 
@@ -43,7 +56,9 @@ QUERIES = {
     "co_edges": lambda s, d: graph.co_edges(membership(s, d)),
     "bridges": bridges,
     "random_walks": walked,
-    "node_embed": embedding,
+    "node_embed": embedded,
+    "walk_pmi": information,
+    "walk_vectors": skip_gram,
 }
 
 _E = """WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS member FROM lineitem),
@@ -66,16 +81,23 @@ def _embedding_sql() -> str:
     return ",\n".join(levels)
 
 
-ORACLE = {
-    "random_walks": f"""{_E},{_DIRECTED}, adj AS (SELECT DISTINCT src, dst FROM both_ways),
+_WALKS = f"""{_E},{_DIRECTED}, adj AS (SELECT DISTINCT src, dst FROM both_ways),
       placed AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS degree FROM adj),
       nodes AS (SELECT DISTINCT src, degree FROM placed),
       w AS (SELECT src AS start, walk, src AS node, degree, 1 AS i, CAST(src AS varchar) AS path
           FROM nodes, (SELECT unnest(range(1, {PER_NODE} + 1)) AS walk)
         UNION ALL SELECT w.start, w.walk, p.dst, n.degree, w.i + 1, w.path || '-' || p.dst FROM w
           JOIN placed p ON p.src = w.node AND p.pos = {_draw("w.start", "w.walk", "w.i", "0")} % w.degree
-          JOIN nodes n ON n.src = p.dst WHERE w.i < {LENGTH})
-      SELECT start, CAST(walk AS int) AS walk, path FROM w WHERE i = {LENGTH}""",
+          JOIN nodes n ON n.src = p.dst WHERE w.i < {LENGTH})"""
+
+ORACLE = {
+    "random_walks": f"{_WALKS} SELECT start, CAST(walk AS int) AS walk, path FROM w WHERE i = {LENGTH}",
+    "walk_pmi": f"""{_WALKS}, p AS (SELECT start, walk, string_split(path, '-') AS nodes FROM w WHERE i = {LENGTH}),
+      spot AS (SELECT start, walk, unnest(nodes) AS node, unnest(range(1, len(nodes) + 1)) AS i FROM p),
+      c AS (SELECT CAST(x.node AS bigint) AS u, CAST(y.node AS bigint) AS v, count(*) AS n FROM spot x JOIN spot y USING (start, walk)
+        WHERE x.i <> y.i AND abs(x.i - y.i) <= {NEAR} GROUP BY 1, 2),
+      info AS (SELECT u, v, ln(n * (sum(n) OVER ()) / (1.0 * (sum(n) OVER (PARTITION BY u)) * (sum(n) OVER (PARTITION BY v)))) - ln({SHIFT}) AS pmi FROM c)
+      SELECT u, v, round(pmi, 6) AS pmi FROM info WHERE pmi > 0""",
     "node_embed": f"""{_E},{_DIRECTED}, strength AS (SELECT src, CAST(sum(w) AS double) AS s FROM both_ways GROUP BY src),
       {_embedding_sql()}
       SELECT node, CAST(j AS int) AS dim, round(x, 6) + 0.0 AS x FROM e{EMBED_ROUNDS}""",
