@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import corpus
+from touchline.operators import corpus, reuse
 from touchline.plans.registry.common import rounded
 from touchline.sources.derived import marked_documents, table, targets
 
@@ -51,6 +51,8 @@ QUERIES = {
     "copy_groups": lambda s, d: corpus.copy_groups(_docs(s, d), N),
     "near_duplicates": lambda s, d: rounded(corpus.near_duplicates(_docs(s, d), N, TAU)),
     "reuse_verdict": lambda s, d: corpus.reuse_verdict(_docs(s, d), N, TAU),
+    "reuse_exists": lambda s, d: reuse.reuse_exists(_docs(s, d), N, TAU),
+    "reuse_families": lambda s, d: reuse.families(_docs(s, d), N, TAU)[0],
 }
 
 _MARKED = r"""WITH marked AS (
@@ -113,6 +115,15 @@ ORACLE = {
       EXCEPT SELECT conv_id, unnest({_terms("text")}) FROM conversations WHERE role <> 'assistant'""",
     "copy_groups": f"{_SHINGLES} SELECT doc_id, rep_id FROM t LEFT JOIN g USING (doc_id)",
     "near_duplicates": f"{_SHINGLES},{_PAIRS} SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM near",
+    "reuse_exists": f"""{_SHINGLES},{_PAIRS},
+      c AS (SELECT doc_id, rep_id, count(*) OVER (PARTITION BY rep_id) > 1 AS copied FROM g),
+      e AS (SELECT DISTINCT unnest([doc_a, doc_b]) AS rep_id, true AS near FROM near)
+      SELECT doc_id, coalesce(copied, false) OR coalesce(near, false) AS reusable FROM t LEFT JOIN c USING (doc_id) LEFT JOIN e USING (rep_id)""",
+    "reuse_families": f"""{_SHINGLES.replace("WITH t AS", "WITH RECURSIVE t AS")},{_PAIRS},
+      ways AS (SELECT doc_a AS a, doc_b AS b FROM near UNION ALL SELECT doc_b, doc_a FROM near),
+      reach AS (SELECT DISTINCT rep_id AS node, rep_id AS root FROM g UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node),
+      root AS (SELECT node AS rep_id, min(root) AS family_id FROM reach GROUP BY node)
+      SELECT doc_id, family_id FROM t LEFT JOIN g USING (doc_id) LEFT JOIN root USING (rep_id)""",
     "reuse_verdict": f"""{_SHINGLES},{_PAIRS},
       c AS (SELECT doc_id, rep_id, count(*) OVER (PARTITION BY rep_id) - 1 AS n_copies FROM g),
       e AS (SELECT rep_id, count(*) AS n_near FROM (SELECT doc_a AS rep_id FROM near UNION ALL SELECT doc_b FROM near) GROUP BY 1)
