@@ -12,7 +12,7 @@ from touchline.operators.asof import asof_join
 from touchline.operators.imbalance import auc, smote, uplift_by_decile
 from touchline.operators.neighbours import nearest
 from touchline.operators.rows import team_rows
-from touchline.operators.skew import number_within, plan_chunks, totals_before
+from touchline.operators.skew import busy_instants, number_within, plan_chunks, totals_before
 from touchline.sources.derived import contests, labelled_vectors, membership, ratings, table
 from touchline.sources.derived import panel as event_panel
 
@@ -73,6 +73,62 @@ def test_chunks_change_nothing_without_broadcast(m, limits):
     assert rows_of(WINDOWED["form"](m)) == plain
 
 
+@pytest.fixture(scope="module")
+def busy(spark):
+    """One team plays most of its matches at one instant, others at few."""
+    rows = [(i, 7 if i % 4 else i % 3, f"2024-03-{1 + (i % 50 == 1):02d} 1{i % 3 if i % 10 == 0 else 5}:00:00", i % 4, i % 3) for i in range(600)]
+    rows += [(1000 + i, None, "2024-03-01 15:00:00", 1, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "match_id long, team long, at string, points long, gf long")
+    return df.select(
+        "match_id", "team", F.col("at").cast("timestamp_ntz").alias("kickoff"), "points", "gf", F.lit(1).alias("ga"),
+        F.lit(1).alias("league"), F.lit(2024).alias("season"), F.when(F.col("match_id") % 2 == 0, "H").otherwise("A").alias("side"),
+    ).persist()
+
+
+def _feed(df):
+    """Two values at an instant, and many at the busy one."""
+    at = df.select("team", F.col("kickoff").alias("valid_from"), (F.col("match_id") % 40).alias("rating"))
+    return at.unionByName(at.withColumn("valid_from", F.expr("valid_from - INTERVAL 1 DAY")))
+
+
+BUSY = {
+    "form": lambda t: form.rolling_form(t, (2, 10), last_ts="last"),
+    "own side": lambda t: form.rolling_form(t, 5, side="own"),
+    "rest": form.rest_days,
+    "matchday": form.matchday,
+    "asof": lambda t: asof_join(t, _feed(t), ["team"], "kickoff", "valid_from"),
+    "asof of a busy feed": lambda t: asof_join(t.filter("match_id % 37 = 0"), _feed(t), ["team"], "kickoff", "valid_from"),
+}
+
+
+@pytest.mark.parametrize("name", BUSY)
+def test_busy_instants_change_nothing(name, busy, limits):
+    plain = rows_of(BUSY[name](busy))
+    limits(HOT_ROWS=8)
+    assert busy_instants(busy.withColumn("us", micros("kickoff")), ["team"], "us") is not None
+    assert rows_of(BUSY[name](busy)) == plain
+
+
+def test_a_busy_instant_is_spread(spark, limits):
+    """A million rows of one key and one instant."""
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.col("id").alias("match_id"), F.lit(3).alias("team"),
+        F.expr("timestamp_ntz'2024-05-01 15:00:00' + make_dt_interval(if(id < 5, -1, 0))").alias("kickoff"),
+        (F.col("id") % 4).alias("points"),
+    )
+    limits(HOT_ROWS=50_000)
+    rows = df.withColumn("us", micros("kickoff"))
+    parts = busy_instants(rows, ["team"], "us")
+    assert [r["_parts"] for r in parts.collect()] == [20]
+    found = form.last_n(df, ["team"], [5], ["points"])
+    by_part = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_part) == n and len(by_part) > 1
+    assert found.filter("form5_n_used = 5 AND form5_points = 0 + 1 + 2 + 3 + 0").count() == n - 5
+    last = asof_join(df, df.select("team", F.col("kickoff").alias("since"), F.col("points").alias("best")), ["team"], "kickoff", "since")
+    assert last.filter("best = 3").count() == n - 5
+
+
 def test_sliding_corr_over_blocks(spark, sf_dir):
     p = event_panel(spark, sf_dir)
     plain = rows_of(panel.sliding_corr(p, 4).withColumn("r", F.round("r", 9)))

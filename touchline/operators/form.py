@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 
 from touchline.functions.clock import DAY_US, micros
 from touchline.functions.outcomes import points
-from touchline.operators.skew import BEFORE, HALO, split_hot, with_halo
+from touchline.operators.skew import (
+    BEFORE,
+    CHUNK,
+    HALO,
+    attach_instants,
+    busy_instants,
+    has_hot_groups,
+    split_hot,
+    with_halo,
+)
 
 _TS = "_us"
 MEASURES = ("points", "gf", "ga")
@@ -36,9 +45,30 @@ def last_n(
     Adds `{prefix}{n}_{measure}` (null without history) and `{prefix}{n}_n_used`,
     and, if asked, the time of the latest earlier row. With running sums S by
     (time, tie) and k strictly earlier rows, the sum is S(k) - S(k - n).
+
+    All rows of an instant have the same past, and of an instant only the last n rows
+    can be in anyone's. So where very many rows share an instant, those n alone
+    go through the windows, and the result is handed to every row of the instant.
     """
     rows = t.withColumn(_TS, micros("kickoff"))
-    rows, chunks = split_hot(rows, keys, _TS, grain, cold)
+    hot = not cold and has_hot_groups(rows, keys)
+    busy = busy_instants(rows, keys, _TS) if hot else None
+    if busy is not None:
+        newest = W.partitionBy(*keys, _TS).orderBy(F.desc(tie))
+        few = rows.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= max(spans)).drop("_at")
+        done = _last_n(few, keys, spans, measures, tie, prefix, last_ts, grain, False)
+        added = [c for c in done.columns if c not in rows.columns]
+        past = done.groupBy(*keys, _TS).agg(*[F.first(c).alias(c) for c in added])
+        return attach_instants(rows, past, keys, _TS, busy).select(*t.columns, *added)
+    done = _last_n(rows, keys, spans, measures, tie, prefix, last_ts, grain, not hot)
+    return done.select(*t.columns, *[c for c in done.columns if c not in rows.columns])
+
+
+def _last_n(
+    t: DataFrame, keys: Sequence[str], spans: Sequence[int], measures: Sequence[str], tie: str, prefix: str,
+    last_ts: str | None, grain: int, cold: bool,
+) -> DataFrame:
+    rows, chunks = split_hot(t, keys, _TS, grain, cold)
     rows = with_halo(rows, chunks, [tie], max(spans))
     part = W.partitionBy(*chunks.part)
     in_order = part.orderBy(_TS, tie)
@@ -102,21 +132,33 @@ def rolling_form(
 def rest_days(t: DataFrame) -> DataFrame:
     """Days since the latest strictly earlier match; null without one."""
     rows = t.withColumn(_TS, micros("kickoff"))
-    rows, chunks = split_hot(rows, ["team"], _TS, DAY_US)
+    hot = has_hot_groups(rows, ["team"])
+    busy = busy_instants(rows, ["team"], _TS) if hot else None
+    if busy is None:
+        return _rest(rows, not hot).select(*t.columns, "rest")
+    instants = rows.groupBy("team", _TS).agg(F.max("kickoff").alias("kickoff")).withColumn("match_id", F.lit(0))
+    found = _rest(instants, False).select("team", _TS, "rest")
+    return attach_instants(rows, found, ["team"], _TS, busy).select(*t.columns, "rest")
+
+
+def _rest(rows: DataFrame, cold: bool) -> DataFrame:
+    rows, chunks = split_hot(rows, ["team"], _TS, DAY_US, cold)
     rows = with_halo(rows, chunks, ["match_id"], 1)
     earlier = W.partitionBy(*chunks.part).orderBy(_TS).rangeBetween(W.unboundedPreceding, -1)
-    return (
-        rows.withColumn("rest", F.datediff("kickoff", F.max("kickoff").over(earlier)).cast("long"))
-        .filter(~F.col(HALO))
-        .select(*t.columns, "rest")
-    )
+    return rows.withColumn("rest", F.datediff("kickoff", F.max("kickoff").over(earlier)).cast("long")).filter(~F.col(HALO))
 
 
 def matchday(t: DataFrame, cold: bool = False) -> DataFrame:
     """1 + matches of the team in the season strictly before this one."""
     keys = ["league", "season", "team"]
     rows = t.withColumn(_TS, micros("kickoff"))
-    rows, chunks = split_hot(rows, keys, _TS, DAY_US, cold)
+    hot = not cold and has_hot_groups(rows, keys)
+    busy = busy_instants(rows, keys, _TS) if hot else None
+    if busy is not None:
+        found = _counted_before(rows.groupBy(*keys, _TS).agg(F.count("*").alias("_c")), keys)
+        found = found.select(*keys, _TS, (F.col("_earlier") + 1).alias("matchday"))
+        return attach_instants(rows, found, keys, _TS, busy).select(*t.columns, "matchday")
+    rows, chunks = split_hot(rows, keys, _TS, DAY_US, not hot)
     w = W.partitionBy(*chunks.part).orderBy(_TS)
     return (
         chunks.tag(rows)
@@ -125,6 +167,21 @@ def matchday(t: DataFrame, cold: bool = False) -> DataFrame:
     )
 
 
+def _counted_before(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`_earlier`: the sum of `_c` over the earlier instants of the key. Totals of chunks are carried on."""
+    counts, chunks = split_hot(counts, keys, _TS, DAY_US)
+    tagged = chunks.tag(counts)
+    inside = W.partitionBy(*chunks.part).orderBy(_TS).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    out = tagged.withColumn("_earlier", F.coalesce(F.sum("_c").over(inside), zero))
+    if chunks.table is None:
+        return out
+    sums = tagged.groupBy(*keys, CHUNK).agg(F.sum("_c").alias("_sum"))
+    ahead = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(*keys, CHUNK, F.coalesce(F.sum("_sum").over(ahead), zero).alias("_carried"))
+    return out.join(carried, [*keys, CHUNK]).withColumn("_earlier", F.col("_earlier") + F.col("_carried"))
+
+
 def head_to_head(
     m: DataFrame, n: int = 3, last_ts: str | None = None, cold: bool = False
 ) -> DataFrame:

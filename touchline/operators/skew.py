@@ -124,6 +124,43 @@ def plan_chunks(
     return Chunks(keys, order, grain, checked_broadcast(cut_lineage(table)))
 
 
+def busy_instants(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
+    """Values of `order` that more than `hotGroupRows` rows of a key share, and `_parts`, over
+    how many parts these are spread. Chunks cannot cut them. None if there are none."""
+    limit = setting(df.sparkSession, HOT_ROWS)
+    found = hot_groups(df.select(*keys, order), [*keys, order], limit)
+    if found is None:
+        return None
+    return checked_broadcast(
+        cut_lineage(found.select(*keys, order, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_parts")))
+    )
+
+
+def attach_instants(
+    df: DataFrame, values: DataFrame, keys: Sequence[str], order: str, busy: DataFrame
+) -> DataFrame:
+    """Each row with the values of its (keys, order), of which `values` has one row.
+
+    Rows of a busy instant are spread over its parts by a hash of all their columns,
+    and its one row of values is sent to every part. Null keys meet null keys.
+    """
+    on = [*keys, order]
+    added = [c for c in values.columns if c not in on]
+    renamed = {c: f"_on_{i}" for i, c in enumerate(on)}
+
+    def parted(rows: DataFrame) -> DataFrame:
+        known = busy.select(*[F.col(c).alias(f"_busy_{i}") for i, c in enumerate(on)], "_parts")
+        same = [F.col(c).eqNullSafe(F.col(f"_busy_{i}")) for i, c in enumerate(on)]
+        joined = rows.join(known, same, "left").drop(*[f"_busy_{i}" for i in range(len(on))])
+        return joined.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+    left = parted(df).withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.col("_parts")).cast("int"))
+    right = parted(values).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    right = right.select(*[F.col(c).alias(n) for c, n in renamed.items()], F.col("_part").alias("_to"), *added)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in renamed.items()]
+    return left.join(right, [*same, F.col("_part") == F.col("_to")], "left").select(*df.columns, *added)
+
+
 def with_halo(
     df: DataFrame, chunks: Chunks, ties: Sequence[str], n: int, source: Column | None = None
 ) -> DataFrame:
