@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.draws import drawn
 from touchline.operators.skew import checked_broadcast, number_within, pairs_within
-from touchline.session import cut_lineage
+from touchline.session import cut_lineage, shared_dir
 
 
 def co_edges(membership: DataFrame) -> DataFrame:
@@ -30,56 +31,102 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends))
 
 
+def bucketed(directed: DataFrame) -> DataFrame:
+    """The edges as a table in the shared folder, bucketed and sorted by their source:
+    a search that joins on it moves its frontier and not the edges."""
+    spark = directed.sparkSession
+    name = f"touchline_edges_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = directed.repartition(buckets, "src")  # one file per bucket
+    writer = rows.write.bucketBy(buckets, "src").sortBy("src").format("parquet")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def bridges(edges: DataFrame, seeds: Sequence[int], target: int, k: int) -> DataFrame:
     """Nodes on the shortest paths of at most k hops from each seed to the target.
 
-    One search from the target gives every node's distance; from the seeds the
-    paths then only walk downhill. Rows are (seed, distance, hop, node,
-    n_paths), n_paths counting the shortest paths from the seed to the node, so
-    many equal paths stay one row per node. A level is checkpointed, and a
-    small frontier is broadcast so that the edges are not shuffled for it.
+    The search goes from both ends to the middle, so neither side has to reach far:
+    from the target level by level, and from the seeds with the number of shortest
+    paths. The nodes where both meet are on the shortest paths; from them the paths
+    are followed back to the seeds and on to the target. Rows are (seed, distance,
+    hop, node, n_paths), n_paths counting the shortest paths from the seed to the
+    node, so many equal paths stay one row per node.
+
+    Edges stay where they are, in a table bucketed by node; a step joins a frontier to
+    it, and every level is stored. A seed that is the target has distance 0; seeds and
+    targets outside the graph, and seeds out of reach, have no rows.
     """
-    spark = edges.sparkSession
-    adjacent = cut_lineage(_both_ways(edges))  # read once per hop
-    visited = spark.createDataFrame([(int(target), 0)], "node long, dist int")
-    frontier = visited
-    for hop in range(1, k + 1):
-        reached = (
-            adjacent.join(checked_broadcast(frontier.select(F.col("node").alias("src"))), "src")
-            .select(F.col("dst").alias("node"))
-            .distinct()
-            .join(visited, "node", "left_anti")
-            .withColumn("dist", F.lit(hop))
-        )
-        frontier = cut_lineage(reached)
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    at = (
-        spark.createDataFrame([(int(s),) for s in seeds], "node long")
-        .join(visited, "node")
-        .select(
-            F.col("node").alias("seed"), F.col("dist").alias("distance"), F.lit(0).alias("hop"),
-            "node", F.lit(1).cast("long").alias("n_paths"),
-        )
+    adjacent = bucketed(_both_ways(edges).filter("src <> dst").distinct())
+    near, far = k // 2, k - k // 2
+    back = _levels_back(adjacent, target, far)
+    ahead = _levels_ahead(adjacent, seeds, near)
+    met = ahead.join(checked_broadcast(back), "node")
+    # Shortest distance, and the one level at which each of the shortest paths is cut.
+    total = met.groupBy("seed").agg(F.min(F.col("hop") + F.col("dist")).alias("distance"))
+    cut = cut_lineage(
+        met.join(F.broadcast(total), "seed")
+        .filter((F.col("hop") + F.col("dist") == F.col("distance")) & (F.col("hop") == F.least(F.lit(near), "distance")))
+        .select("seed", "distance", "hop", "node", "n_paths")
     )
-    found = at
+    found = cut
+    for hop in range(near - 1, -1, -1):
+        # Backwards: nodes of the level before that lead to one that is kept.
+        before = ahead.filter(F.col("hop") == hop)
+        later = found.filter(F.col("hop") == hop + 1).select("seed", "distance", F.col("node").alias("src"))
+        leading = adjacent.join(checked_broadcast(later), "src").select("seed", "distance", F.col("dst").alias("node")).distinct()
+        found = found.unionByName(cut_lineage(before.join(leading, ["seed", "node"]).select(*cut.columns)))
+    at = cut
     for hop in range(1, k + 1):
-        at = (
-            adjacent.join(checked_broadcast(at.withColumnRenamed("node", "src")), "src")
-            .join(visited.withColumnRenamed("node", "dst"), "dst")
+        # Onwards: each step is one nearer to the target. Levels of a seed end with its distance.
+        step = at.filter(F.col("hop") == hop - 1).select("seed", "distance", F.col("node").alias("src"), "n_paths")
+        near_target = back.select(F.col("node").alias("dst"), "dist")
+        onwards = (
+            adjacent.join(checked_broadcast(step), "src")
+            .join(near_target, "dst")
             .filter(F.col("dist") == F.col("distance") - hop)
             .groupBy("seed", "distance", F.col("dst").alias("node"))
             .agg(F.sum("n_paths").alias("n_paths"))
             .select("seed", "distance", F.lit(hop).alias("hop"), "node", "n_paths")
         )
-        at = cut_lineage(at)
-        if at.isEmpty():
-            break
-        found = found.unionByName(at)
+        onwards = cut_lineage(onwards)
+        at = at.unionByName(onwards)
+        found = found.unionByName(onwards)
     return found
 
 
+def _levels_back(adjacent: DataFrame, target: int, depth: int) -> DataFrame:
+    """node, dist: distances to the target, up to `depth`."""
+    here = adjacent.filter(F.col("src") == target).select(F.col("src").alias("node")).distinct()
+    visited = frontier = cut_lineage(here.withColumn("dist", F.lit(0)))
+    for hop in range(1, depth + 1):
+        reached = adjacent.join(checked_broadcast(frontier.select(F.col("node").alias("src"))), "src")
+        new = reached.select(F.col("dst").alias("node")).distinct().join(visited, "node", "left_anti")
+        frontier = cut_lineage(new.withColumn("dist", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited
+
+
+def _levels_ahead(adjacent: DataFrame, seeds: Sequence[int], depth: int) -> DataFrame:
+    """seed, hop, node, n_paths: what each seed reaches, and by how many shortest paths."""
+    spark = adjacent.sparkSession
+    start = spark.createDataFrame([(int(s),) for s in sorted(set(seeds))], "node long")
+    known = adjacent.select(F.col("src").alias("node")).join(F.broadcast(start), "node", "left_semi").distinct()
+    first = known.select(F.col("node").alias("seed"), F.lit(0).alias("hop"), "node", F.lit(1).cast("long").alias("n_paths"))
+    visited = frontier = cut_lineage(first)
+    for hop in range(1, depth + 1):
+        step = adjacent.join(checked_broadcast(frontier.select("seed", F.col("node").alias("src"), "n_paths")), "src")
+        new = step.groupBy("seed", F.col("dst").alias("node")).agg(F.sum("n_paths").alias("n_paths"))
+        new = new.join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = cut_lineage(new.select("seed", F.lit(hop).alias("hop"), "node", "n_paths"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited
+
+
 def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFrame:
     """Hash-seeded random walks: (start, walk, path).
 

@@ -7,23 +7,18 @@ from pyspark.sql import functions as F
 from touchline.operators import embedding, graph
 from touchline.plans.registry.common import rounded
 from touchline.session import cut_lineage
-from touchline.sources.derived import membership
+from touchline.sources.derived import membership, shared_orders
 
-SEEDS, TARGET, HOPS = (1, 2, 3, 4, 5), 10, 4
+SEEDS, TARGET, HOPS = (1, 2, 4, 5, 7), 10, 6
 PER_NODE, LENGTH = 5, 6
 SIZE, EMBED_ROUNDS = 8, 3
 NEAR, SHIFT = 2, 1.25  # window of the walks, negative samples per pair
 
 
-def _strong(spark, sf_dir):
-    """Edges clearly above the mean weight, which leaves paths of several hops."""
-    edges = cut_lineage(graph.co_edges(membership(spark, sf_dir)))
-    bound = edges.agg((F.avg("weight") + 2 * F.stddev_pop("weight")).alias("_w")).first()["_w"]
-    return edges.filter(F.col("weight") > bound)
-
-
 def bridges(spark, sf_dir):
-    return graph.bridges(_strong(spark, sf_dir), SEEDS, TARGET, HOPS)
+    """Between customers that had the same part shipped in the same month."""
+    edges = cut_lineage(graph.co_edges(shared_orders(spark, sf_dir)))
+    return graph.bridges(edges, SEEDS, TARGET, HOPS)
 
 
 def _all(spark, sf_dir):
@@ -102,8 +97,9 @@ ORACLE = {
       {_embedding_sql()}
       SELECT node, CAST(j AS int) AS dim, round(x, 6) + 0.0 AS x FROM e{EMBED_ROUNDS}""",
     "co_edges": f"{_E} SELECT a, b, weight FROM edges",
-    "bridges": f"""{_E}, s AS (SELECT a, b FROM edges WHERE weight > (SELECT avg(weight) + 2 * stddev_pop(weight) FROM edges)),
-      adj AS (SELECT a AS src, b AS dst FROM s UNION ALL SELECT b, a FROM s),
+    "bridges": f"""WITH RECURSIVE m AS (SELECT DISTINCT l_partkey * 100000 + year(l_shipdate) * 12 + month(l_shipdate) AS item, o_custkey AS member
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+      adj AS (SELECT DISTINCT x.member AS src, y.member AS dst FROM m x JOIN m y ON x.item = y.item AND x.member <> y.member),
       back AS (SELECT CAST({TARGET} AS bigint) AS node, 0 AS dist UNION
         SELECT adj.dst, back.dist + 1 FROM back JOIN adj ON adj.src = back.node WHERE back.dist < {HOPS}),
       d AS (SELECT node, min(dist) AS dist FROM back GROUP BY node),

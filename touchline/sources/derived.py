@@ -77,6 +77,15 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part and month of shipping (item) x customer (member): customers share few items, at every size."""
+    lines = table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
+    )
+    month = "year(l_shipdate) * 12 + month(l_shipdate)"
+    return lines.selectExpr(f"l_partkey * 100000 + {month} AS item", "o_custkey AS member").distinct()
+
+
 def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a register; every third one carries unfilled markers, some of them twice."""
     return table(spark, sf_dir, "documents").selectExpr(
