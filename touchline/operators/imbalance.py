@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from touchline.functions.draws import drawn
 from touchline.operators.neighbours import nearest
 from touchline.operators.skew import checked_broadcast, totals_before
 from touchline.session import cut_lineage
@@ -39,13 +40,20 @@ def imbalance(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def smote(df: DataFrame, k: int = 5, ratio: float = 1.0, seed: int = 0) -> DataFrame:
+def smote(
+    df: DataFrame,
+    k: int = 5,
+    ratio: float = 1.0,
+    seed: int = 0,
+    search: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
     """Synthetic minority rows between a row and one of its k nearest minority rows.
 
     `df`: id long, features array<double>, label 0/1, training rows only. Makes
     about `ratio` * majority - minority rows. Which neighbour and how far along
     the line are hashes of (id, copy, seed), so a recomputed task gives the
-    same rows.
+    same rows. `search` finds the neighbours, by default exactly; for a large
+    minority in many dimensions `probing.nearest_probed` does.
     """
     sizes = df.agg(
         F.sum("label").alias("minority"), F.count("*").alias("n")
@@ -55,14 +63,14 @@ def smote(df: DataFrame, k: int = 5, ratio: float = 1.0, seed: int = 0) -> DataF
     minority = df.filter("label = 1").select("id", "features")
 
     def uniform(*parts) -> F.Column:
-        return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        return F.pmod(drawn(*parts, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
     whole, rest = int(per_row), per_row - int(per_row)
     copies = F.lit(whole) + (uniform("id", F.lit("more")) < rest).cast("int")
     wanted = minority.withColumn(
         "copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
     )
-    graph = cut_lineage(nearest(minority, k, seed))
+    graph = cut_lineage(search(minority, k) if search else nearest(minority, k, seed))
     known = graph.groupBy("id").agg(F.max("rank").alias("_known"))
     picked = wanted.join(known, "id").withColumn(
         "rank", (F.floor(uniform("id", "copy", F.lit("pick")) * F.col("_known")) + 1).cast("int")

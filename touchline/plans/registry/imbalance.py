@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from touchline.functions import outcomes as fo
 from touchline.operators import imbalance as im
 from touchline.operators.neighbours import nearest
+from touchline.operators.probing import nearest_probed
 from touchline.operators.rows import devig
 from touchline.plans.registry.common import CONTESTS, rounded
 from touchline.sources.derived import contests, labelled_vectors, table
 
+K = 5  # neighbours
 CHURN_COLUMNS = ["n_events", "n_types", "value_sum", "value_mean", "recency"]
 
 
@@ -22,11 +24,24 @@ def class_ratio(spark, sf_dir):
 
 
 def neighbours(spark, sf_dir):
-    return rounded(nearest(labelled_vectors(spark, sf_dir), 5))
+    return rounded(nearest(labelled_vectors(spark, sf_dir), K))
+
+
+def _made(spark, sf_dir, search=None):
+    made = im.smote(labelled_vectors(spark, sf_dir), k=K, ratio=1.0, search=search)
+    return rounded(made.select("id", "copy", "neighbour", F.posexplode("features").alias("dim", "x"), "label"))
 
 
 def smote(spark, sf_dir):
-    return rounded(im.smote(labelled_vectors(spark, sf_dir), k=5, ratio=1.0))
+    return _made(spark, sf_dir)
+
+
+def smote_probed(spark, sf_dir):
+    return _made(spark, sf_dir, nearest_probed)
+
+
+def probed(spark, sf_dir):
+    return rounded(nearest_probed(labelled_vectors(spark, sf_dir), K))
 
 
 def _home_wins(spark, sf_dir):
@@ -88,7 +103,9 @@ def scenarios(spark, sf_dir):
 QUERIES = {
     "imbalance": class_ratio,
     "nearest_neighbours": neighbours,
+    "probed_neighbours": probed,
     "smote": smote,
+    "smote_probed": smote_probed,
     "class_metrics": class_metrics,
     "auc": auc,
     "churn_table": churn,
@@ -102,7 +119,24 @@ _WINS = f"""WITH {CONTESTS}, wins AS (
     (home_goals > away_goals)::int AS label
   FROM (SELECT *, 1 / odds_h + 1 / odds_d + 1 / odds_a AS s FROM contests WHERE odds_h > 1 AND odds_d > 1 AND odds_a > 1))"""
 
+
+
+def _uniform(*parts: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('-', {', '.join(parts)}, 0)), 1, 15) AS bigint) % (1 << 30) / CAST(1 << 30 AS double))"
+
+
 ORACLE = {
+    "smote": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS double[]) AS f, (label = 0)::int AS y FROM embeddings),
+      s AS (SELECT greatest(count(*) FILTER (y = 0) - 1.0 * sum(y), 0) / greatest(sum(y), 1) AS per_row FROM v),
+      e AS (SELECT id, f FROM v WHERE y = 1),
+      d AS (SELECT a.id, b.id AS neighbour, list_distance(a.f, b.f) AS distance FROM e a JOIN e b ON a.id <> b.id),
+      n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d) WHERE rank <= {K}),
+      w AS (SELECT id, unnest(range(1, CAST(floor(per_row) AS bigint) + ({_uniform("id", "'more'")} < per_row - floor(per_row))::int + 1)) AS copy FROM e, s),
+      p AS (SELECT w.*, 1 + CAST(floor({_uniform("id", "copy", "'pick'")} * (SELECT count(*) FROM n WHERE n.id = w.id)) AS bigint) AS rank,
+        {_uniform("id", "copy", "'along'")} AS u FROM w),
+      m AS (SELECT p.id, p.copy, n.neighbour, a.f AS f, b.f AS g, u, unnest(range(len(a.f))) AS dim
+        FROM p JOIN n USING (id, rank) JOIN e a ON a.id = p.id JOIN e b ON b.id = n.neighbour)
+      SELECT id, CAST(copy AS int) AS copy, neighbour, CAST(dim AS int) AS dim, round(f[dim + 1] + u * (g[dim + 1] - f[dim + 1]), 6) + 0.0 AS x, 1 AS label FROM m""",
     "imbalance": """WITH k AS (SELECT toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY toxic)
       SELECT count(*) AS classes, CAST(sum(n) AS bigint) AS n, max(n) AS n_majority, min(n) AS n_minority,
         round(max(n) / min(n), 6) AS ratio FROM k""",
