@@ -35,6 +35,11 @@ def test_classifiers_and_scenarios(spark, sf_dir):
     assert set(rows) == {"as_is", "more_activity", "higher_value", "recent_contact"}
 
 
-def test_importance_is_sorted(spark, sf_dir):
-    found = [r["importance"] for r in Q["feature_importance"](spark, sf_dir).collect()]
-    assert len(found) == 10 and found == sorted(found, reverse=True) and 0 < sum(found) <= 1.00001
+def test_importance_of_every_fold(spark, sf_dir):
+    rows = Q["feature_importance"](spark, sf_dir).collect()
+    folds = {r["fold"] for r in rows}
+    assert len(folds) == 5 and {r["fold"] for r in Q["ts_cv"](spark, sf_dir).collect()} == folds
+    for fold in folds:
+        found = [r["importance"] for r in sorted(rows, key=lambda r: r["rank"]) if r["fold"] == fold]
+        assert len(found) == 10 and found == sorted(found, reverse=True) and 0 < sum(found) <= 1.00001
+

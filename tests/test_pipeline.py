@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from touchline.operators import folds
 from touchline.operators.audits import leakage_audit, moved_features
+from touchline.operators.forecast.boosting import model_frame
 from touchline.operators.forecast.ordinal import elo_ordered_logit
+from touchline.operators.forecast.pool import Candidate
 from touchline.operators.forecast.reference import market
 from touchline.operators.imbalance import churn_table
 from touchline.operators.scoring import ablation, predictions, score_input
-from touchline.plans.backtest import backtest, ts_cv
+from touchline.plans.backtest import backtest, tuned
 from touchline.plans.features import build_features, rated_matches
 from touchline.plans.registry.matches import CSV_COLUMNS
 from touchline.sources.derived import contests, ratings, table
@@ -130,13 +132,15 @@ def test_backtest_and_gates(spark, m, sf_dir):
     assert gap["n"] == n["gbm"] and gap["keep"] == (gap["rps_gap"] < 0)
 
 
-def test_ts_cv_stays_inside_training(spark, m, sf_dir):
-    from touchline.operators.forecast.boosting import model_frame
-
+def test_tuning_stays_inside_training(spark, m, sf_dir):
     frame = model_frame(build_features(m, ratings(m))).persist()
-    rows = ts_cv(frame, 2000, [{"maxDepth": 1, "maxIter": 2}, {"maxDepth": 2, "maxIter": 2}], n_inner=1).collect()
+    grid = (Candidate(depth=1, rounds=2), Candidate(depth=2, rounds=2))
+    found = tuned(frame, [2000], grid, n_inner=1)
+    rows = found.scores.collect()
     assert {r["candidate"] for r in rows} == {"candidate_0", "candidate_1"}
     assert {r["n"] for r in rows} == {m.filter("season = 1999").count()}
+    assert [r["candidate"] for r in rows if r["chosen"]] == [f"candidate_{found.choice[2000]}"]
+    assert found.predictions.count() == m.filter("season = 2000").count()
 
 
 def test_churn_uses_only_the_past(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from touchline.operators.forecast import boosting
+from touchline.operators.forecast.pool import Candidate
 from touchline.plans import backtest, pipeline
 from touchline.plans.registry.matches import CSV_COLUMNS
 from touchline.sources.derived import contests, ratings
@@ -34,14 +34,15 @@ def test_choice_of_parameters_ignores_the_test_season(spark, sf_dir):
     m = select_scope(contests(spark, sf_dir), leagues=[0], n=5)
     frame = backtest.model_table(m, ratings(m))
     fold = max(backtest.all_seasons(m))
-    grid = [{"maxDepth": 2, "maxIter": 3}, {"maxDepth": 4, "maxIter": 3}]
+    grid = (Candidate(depth=2, rounds=3), Candidate(depth=4, rounds=3))
     changed = frame.withColumn(
         "outcome", F.when(F.col("season") >= fold, F.lit("D")).otherwise(F.col("outcome"))
     )
-    first = backtest.ts_cv(frame, fold, grid, 1).orderBy("candidate").collect()
-    assert first == backtest.ts_cv(changed, fold, grid, 1).orderBy("candidate").collect()
-    chosen = backtest.tuned_params(frame, [fold], grid, 1)
-    best = min(first, key=lambda r: (r.rps, r.candidate))
-    assert chosen == {fold: grid[int(best.candidate[-1])]}
-    pred = boosting.gbm(frame, [fold], by_fold=chosen)
-    assert pred.count() == frame.filter(F.col("season") == fold).count()
+    first, second = (backtest.tuned(f, [fold], grid, 1) for f in (frame, changed))
+    scores = first.scores.orderBy("candidate").collect()
+    assert scores == second.scores.orderBy("candidate").collect() and first.choice == second.choice
+    best = min(scores, key=lambda r: (r.rps, r.candidate))
+    assert first.choice == {fold: int(best.candidate[-1])}
+    key = lambda df: sorted((r.match_id, round(r.p_h, 9), round(r.p_d, 9)) for r in df.collect())
+    assert key(first.predictions) == key(second.predictions)
+    assert first.predictions.count() == frame.filter(F.col("season") == fold).count()
