@@ -5,10 +5,10 @@ offsets and character offsets all follow from that table: a token covers as
 many bytes as its written form has characters, and a character may be split
 over several tokens, in which case they share its character offset.
 
-A text falls into units, each a run of non-space characters with the one space
-before it, or a run of space. No match of the tokenizers' pattern crosses the
-border of two units, so a unit's ids do not depend on its neighbours; units seen
-before are taken from a table of bounded size, and only new ones are encoded.
+A text falls into units, each a run of letters or of non-space characters with the
+one space before it, or a run of space. No match of the tokenizers' pattern crosses
+the border of two units, so a unit's ids do not depend on its neighbours; units seen
+before are taken from two tables of bounded size, and only new ones are encoded.
 
 Rows: null text counts as empty and gives no ids; repeated rows give repeated
 results; an empty table gives an empty one; other columns are not read.
@@ -32,8 +32,10 @@ from touchline.llm.common import ids_and_texts, map_chunks
 
 # White space as the tokenizers' patterns see it: Python's, without four control characters.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-UNIT = re.compile(rf" ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
-KEPT_UNITS = 500_000  # about 100 MB; a full table starts anew
+# A run of these letters that no letter follows is a match of the pattern by itself.
+LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])"
+UNIT = re.compile(rf" ?{LETTERS}| ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
+KEPT_UNITS = 500_000  # about 100 MB; a full table becomes the older one
 LONGEST_KEPT = 64
 
 
@@ -105,10 +107,14 @@ class Encoder:
         self.widths = byte_widths(path)
         self.kept_units = kept_units
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
         """Encode unseen units many at a time: one after the other, or with a line
         break between where a unit has no space before it, they stay apart."""
+        older = {u: self.older[u] for u in new if u in self.older}
+        self.units.update(older)
+        new = [u for u in new if u not in older]
         runs = [u for u in new if u.isspace()]
         for unit, encoded in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
             self.units[unit] = np.array(encoded.ids, "<u4").tobytes()
@@ -130,12 +136,11 @@ class Encoder:
         new = list(set(chain.from_iterable(split)).difference(self.units))
         self._learn(new)
         packed = [b"".join(map(self.units.__getitem__, units)) for units in split]
+        for unit in new:
+            if len(unit) > LONGEST_KEPT:
+                del self.units[unit]
         if len(self.units) > self.kept_units:
-            self.units.clear()
-        else:
-            for unit in new:
-                if len(unit) > LONGEST_KEPT:
-                    del self.units[unit]
+            self.units, self.older = {}, self.units
         return packed
 
 
