@@ -89,6 +89,16 @@ def leakage(spark, sf_dir):
     return leakage_audit(build_features(m, ratings(m))).select("match_id", "kickoff", "max_src_ts")
 
 
+def planted(spark, sf_dir):
+    """The audit on features with two planted leaks: league 2 uses the rating of the month's
+    end, league 3 one of the same instant. It must find just the rows these reach."""
+    m = contests(spark, sf_dir)
+    month = F.date_trunc("month", "kickoff").cast("timestamp_ntz")
+    late = F.when(F.col("league") == 2, month + F.expr("INTERVAL 1 MONTH")).when(F.col("league") == 3, month)
+    leaky = build_features(m, ratings(m)).withColumn("max_src_ts", F.greatest("max_src_ts", late))
+    return leakage_audit(leaky).select("match_id", "kickoff", "max_src_ts")
+
+
 QUERIES = {
     "form_last_5": _form(5),
     "form_last_10": _form(10),
@@ -104,6 +114,7 @@ QUERIES = {
     "enrich_asof": enriched,
     "build_features": feature_table,
     "leakage_audit": leakage,
+    "planted_leaks": planted,
 }
 
 _W = f"WITH {CONTESTS},{TEAM_ROWS}"
@@ -219,3 +230,7 @@ ORACLE = {
 ORACLE["leakage_audit"] = f"""SELECT m.o_orderkey AS match_id, m.o_orderdate AS kickoff, f.max_src_ts
   FROM ({ORACLE["build_features"]}) f JOIN orders m ON m.o_orderkey = f.match_id
   WHERE f.max_src_ts >= m.o_orderdate"""
+ORACLE["planted_leaks"] = f"""WITH {CONTESTS},
+  late AS (SELECT match_id, kickoff, date_trunc('month', kickoff) + CASE WHEN league = 2 THEN INTERVAL 1 MONTH ELSE INTERVAL 0 MONTH END AS max_src_ts
+    FROM contests WHERE league IN (2, 3))
+  SELECT match_id, kickoff, max_src_ts FROM late WHERE max_src_ts >= kickoff"""
