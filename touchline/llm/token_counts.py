@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.llm.byte_bpe import encoder
-from touchline.llm.common import map_chunks
+from touchline.llm.common import map_chunks, stored
 
 RANGE = 1024
 
@@ -49,8 +49,9 @@ def histogram(counted: DataFrame) -> DataFrame:
     whole, so the q-quantile is the first length whose share reaches q.
     """
     bins = counted.groupBy("grp", "n_tokens").agg(F.count("*").alias("docs"))
-    bins = bins.withColumns(
-        {"tokens": F.col("n_tokens") * F.col("docs"), "_range": F.floor(F.col("n_tokens") / RANGE)}
+    # Stored, as both sides of the join below read it: the texts are encoded once.
+    bins = stored(
+        bins.withColumns({"tokens": F.col("n_tokens") * F.col("docs"), "_range": F.floor(F.col("n_tokens") / RANGE)})
     )
     # A row per range of lengths: small however many documents there are.
     ranges = bins.groupBy("grp", "_range").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
