@@ -13,7 +13,7 @@ from touchline.session import build_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 LIMIT = float(os.environ.get("BENCH_LIMIT_S", "1200"))  # later queries are listed as not run
-COSTLY = ("gbm", "feature_importance", "ts_cv", "backtest", "fitted_rps_by_season", "ablation")  # come last
+COSTLY = ("gbm", "feature_importance", "ts_cv", "backtest", "fitted_rps_by_season", "ablation", "fit_certificates")  # come last
 
 
 def main() -> None:
