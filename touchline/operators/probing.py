@@ -89,7 +89,8 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
             x = np.stack(part["_x"].to_numpy())
             best = None
             for other in range(0, len(ids), BLOCK):
-                d, near = _distances(x, y[other : other + BLOCK]), np.broadcast_to(ids[other : other + BLOCK], (len(x), len(ids[other : other + BLOCK])))
+                d = _distances(x, y[other : other + BLOCK])
+                near = np.broadcast_to(ids[other : other + BLOCK], d.shape)
                 if best is not None:
                     d, near = np.hstack([best[0], d]), np.hstack([best[1], near])
                 order = np.lexsort((near, d), axis=1)[:, : k + 1]

@@ -9,7 +9,7 @@ from touchline.operators.asof import asof_join, enrich_asof
 from touchline.operators.audits import leakage_audit
 from touchline.operators.rows import team_rows
 from touchline.plans.features import build_features, rated_matches
-from touchline.plans.registry.common import CONTESTS, RATINGS, TEAM_ROWS, rounded, scope
+from touchline.plans.registry.common import CONTESTS, RATINGS, TEAM_ROWS, rounded
 from touchline.sources.derived import contests, ratings, table
 
 ROW = ["match_id", "side", "team"]
