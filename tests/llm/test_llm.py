@@ -521,6 +521,15 @@ def test_training_never_sees_held_out_labels(spark, docs, sf_dir):
     assert a == b
 
 
+def test_toxicity_learns_from_every_label(spark):
+    n = 60_000
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    texts = ids.withColumn("text", F.concat(F.lit("plain words "), F.col("doc_id").cast("string")))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    found = {r.doc_id for r in toxicity.training(texts, labels, toxicity.Settings()).select("doc_id").collect()}
+    assert found == {i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
 # ---- pipeline ---------------------------------------------------------------
 
 
