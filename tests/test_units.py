@@ -13,6 +13,7 @@ from touchline.operators.asof import asof_join
 from touchline.operators.forecast import goals, ordinal
 from touchline.operators.quality import apply_exclusions, default_rules, flag_repeats
 from touchline.operators.rows import devig, team_rows
+from touchline.plans.registry.common import scaled_round
 
 P = (0.5, 0.3, 0.2)
 
@@ -174,3 +175,21 @@ def test_no_division_by_zero(spark):
     groups = flat.select("subject").distinct().withColumn("grp", (F.col("subject") % 2).cast("int"))
     assert edge_contrast(corr.withColumn("r", F.lit(0.5)), groups).first()["t"] is None
     assert all(r["f"] is None for r in granger1(flat).collect())
+
+
+def test_score_matrix_is_generated_code(spark):
+    """No cell is worked out by an interpreted lambda; a match without rates keeps its 121 rows."""
+    lam = spark.createDataFrame([(1, 1.4, 1.1, -0.08), (2, None, 2.0, 0.05)], "match_id long, lam double, mu double, rho double")
+    cells = goals.score_matrix(lam)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan
+    found = cells.collect()
+    assert len(found) == 242 and sum(c["prob"] is None for c in found) == 121
+
+
+def test_scaled_round(spark):
+    rows = [(x,) for x in (0.1234564, 0.1234565, 0.5, 2.5e-6, -0.0000004, -1.5000007, None, float("inf"), 1e300)]
+    df = spark.createDataFrame([*rows, (float("nan"),)], "x double").select("x", scaled_round(F.col("x"), 6).alias("y"))
+    found = [r["y"] for r in df.collect()]
+    assert found[:9] == [0.123456, 0.123457, 0.5, 3e-6, 0.0, -1.500001, None, float("inf"), 1e300]
+    assert found[9] != found[9] and str(found[4]) == "0.0"
