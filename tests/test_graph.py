@@ -77,3 +77,23 @@ def test_the_edges_stay_where_they_are(spark, limits):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("Exchange") == 1  # the frontier's
+
+
+def test_shared_items_counted_alike_hot_or_not(spark, limits):
+    r = random.Random(5)
+    rows = [(r.randrange(40), r.randrange(60)) for _ in range(700)] + [(99, m) for m in range(80)] + [(None, 1), (None, 2), (3, None)]
+    df = spark.createDataFrame(rows * 2, "item long, member long")
+    shared = {}
+    for item in {i for i, _ in rows if i is not None}:
+        members = sorted({m for i, m in rows if i == item and m is not None})
+        for k, a in enumerate(members):
+            for b in members[k + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    assert {(x["a"], x["b"]): x["weight"] for x in graph.co_edges(df).collect()} == shared
+    limits(PAIR_ROWS=30)
+    assert {(x["a"], x["b"]): x["weight"] for x in graph.co_edges(df).collect()} == shared
+
+
+def test_members_are_not_joined_with_themselves(spark):
+    plan = graph.co_edges(spark.createDataFrame([(1, 1), (1, 2)], "item long, member long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # nor sorted for it

@@ -69,12 +69,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order (item) x supplier (member)."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("member"))
-        .distinct()
-    )
+    """Order (item) x supplier (member), a row per order line: `co_edges` counts a member of an item once."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("member"))
 
 
 def shared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
