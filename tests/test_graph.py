@@ -97,3 +97,14 @@ def test_shared_items_counted_alike_hot_or_not(spark, limits):
 def test_members_are_not_joined_with_themselves(spark):
     plan = graph.co_edges(spark.createDataFrame([(1, 1), (1, 2)], "item long, member long"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan  # nor sorted for it
+
+
+def test_walkers_move_and_not_the_edges(spark):
+    edges = frame(spark, [(i, (i * 7 + 1) % 300) for i in range(300)] + [(i, i + 1) for i in range(299)])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.walks(edges, 2, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 3  # the walkers', once a step

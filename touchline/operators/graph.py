@@ -41,14 +41,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends))
 
 
-def bucketed(directed: DataFrame) -> DataFrame:
-    """The edges as a table in the shared folder, bucketed and sorted by their source:
-    a search that joins on it moves its frontier and not the edges."""
-    spark = directed.sparkSession
+def bucketed(rows: DataFrame, keys: Sequence[str] = ("src",)) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed and sorted by `keys`:
+    a search that joins on them moves its frontier and not the rows."""
+    spark = rows.sparkSession
     name = f"touchline_edges_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = directed.repartition(buckets, "src")  # one file per bucket
-    writer = rows.write.bucketBy(buckets, "src").sortBy("src").format("parquet")
+    rows = rows.repartition(buckets, *keys)  # one file per bucket
+    writer = rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
     writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
@@ -142,14 +142,15 @@ def walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFr
 
     A walker draws the position of its next edge, and joins on (node,
     position). So a hub's walkers spread over its edges, and no task holds all
-    neighbours of a hub.
+    neighbours of a hub. Edges stay where they are, in a table bucketed by both;
+    a step moves the walkers only.
     """
-    directed = _both_ways(edges).distinct()
+    directed = cut_lineage(_both_ways(edges).distinct())
     degree = cut_lineage(directed.groupBy("src").agg(F.count("*").alias("degree")))
     placed = number_within(directed, ["src"], "dst", 1 << 20, "pos")
     ends = degree.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree"))
     steps = placed.join(checked_broadcast(ends), "dst")
-    steps = cut_lineage(steps.select(F.col("src").alias("node"), "pos", "dst", "dst_degree"))
+    steps = bucketed(steps.select(F.col("src").alias("node"), "pos", "dst", "dst_degree"), ["node", "pos"])
     state = degree.select(
         F.col("src").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk"),
         F.col("src").alias("node"), "degree", F.array("src").alias("path"),
