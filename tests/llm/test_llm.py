@@ -521,6 +521,19 @@ def test_training_never_sees_held_out_labels(spark, docs, sf_dir):
     assert a == b
 
 
+def test_toxicity_counts_travel_as_one_text_and_one_number(spark):
+    texts = [(0, "Ab cd, ab é", 1), (1, "cd ab", 0), (2, None, 0), (3, "cd", 1), (4, "ab cd", 1)]
+    train = spark.createDataFrame(texts, "doc_id long, text string, toxic int").withColumn("for_curve", F.lit(False))
+    found = toxicity.counts(train)
+    expected = {
+        (1, "", "ab", 2, 1), (1, "", "cd", 3, 1), (1, "", "é", 1, 0),
+        (2, "ab", "cd", 2, 0), (2, "cd", "ab", 1, 1), (2, "ab", "é", 1, 0),
+    }
+    assert {tuple(r) for r in found.select("n", "a", "b", "t", "o").collect()} == expected
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[key" in plan and "partial_sum(o" not in plan
+
+
 def test_toxicity_learns_from_every_label(spark):
     n = 60_000
     ids = spark.range(n).withColumnRenamed("id", "doc_id")
