@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,35 @@ def test_rows_without_terms(spark):
     assert {x.doc_id: x.reusable for x in reuse.reuse_exists(df).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
     empty = df.limit(0)
     assert reuse.families(empty)[0].isEmpty() and reuse.reuse_exists(empty).isEmpty()
+
+
+def test_sets_stay_where_they_are_made(spark):
+    """Names are shuffled, arrays of shingles are not, unless rows repeat."""
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l m"), (4, "..."), (None, "a b c d e f"), (None, "n o p q r s")]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    own, sets = corpus.representatives(once, 5)
+    assert "hashpartitioning" not in sets._jdf.queryExecution().executedPlan().toString()
+    twice = once.unionByName(once)
+    for members, found in ((own, sets), corpus.representatives(twice, 5)):
+        assert sorted((str(r.rep_id), len(r.shingles)) for r in found.collect()) == [("1", 2), ("2", 3), ("None", 2)]
+        assert {(r.doc_id, r.rep_id) for r in members.collect()} == {(3, 1), (1, 1), (2, 2), (None, 1), (None, None)}
+
+
+def test_pairs_move_only_sets_that_are_in_one(spark, monkeypatch):
+    rows = [(i, f"own{i} words of the text {i} {i + 1} {i + 2}") for i in range(50)]
+    rows += [(100, " ".join(map(str, range(900, 960)))), (101, " ".join(map(str, range(900, 961))))]
+    asked = []
+    plain = corpus.members_of
+    monkeypatch.setattr(corpus, "members_of", lambda *a: asked.append(plain(*a)) or asked[-1])
+    found = corpus.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r.doc_a, r.doc_b) for r in found.collect()] == [(100, 101)]
+    assert {r.rep_id for r in asked[0].collect()} == {100, 101}
+
+
+def test_band_names_do_not_depend_on_the_step():
+    values = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, size=1000)
+    least = reuse._mixed(values.view("uint64")[:, None] ^ reuse._seeds(reuse.BANDS * reuse.ROWS)).min(axis=0)
+    names = np.arange(1, reuse.BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(reuse.BANDS, reuse.ROWS).T:
+        names = reuse._mixed(names * np.uint64(0x9E3779B97F4A7C15) + column)
+    assert (reuse.band_names(values) == names.view("int64")).all()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions import text as ft
 from touchline.operators.skew import checked_broadcast, pairs_within
-from touchline.session import cut_lineage, spread
+from touchline.session import BROADCAST_ROWS, cut_lineage, setting, spread
 
 # Word bands per register, the hard cap of a cover letter, tell-tale phrases.
 BANDS = {"cover": (320, 400), "motivation": (500, 650), "job": (220, 300)}
@@ -185,6 +186,34 @@ def copy_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     return grouped.unionByName(blank.select("doc_id", F.lit(None).cast(grouped.schema["rep_id"].dataType).alias("rep_id")))
 
 
+def representatives(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep_id) of every text with terms, and (rep_id, shingles) of each different
+    set, named by its lowest doc_id.
+
+    Sets are stored where they are made; only their names move, to find the sets that
+    occur more than once."""
+    sets = cut_lineage(shingle_sets(docs, n))
+    names = sets.select("doc_id", "set_id")
+    reps = names.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("_n"))
+    repeated = cut_lineage(reps.filter("_n > 1"))
+    few = repeated.count() <= setting(docs.sparkSession, BROADCAST_ROWS)
+    repeated = F.broadcast(repeated) if few else repeated
+    rep_id = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id")
+    own = names.join(repeated, "set_id", "left").select("doc_id", rep_id)
+    first = sets.join(repeated, "set_id", "left").filter(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    # Sets move only if rows repeat or the names are too many to be told to all tasks.
+    again = not names.groupBy("doc_id", "set_id").count().filter("count > 1").isEmpty()
+    kept = (first.dropDuplicates(["set_id"]) if again else first).select(rep_id, "shingles")
+    return own, kept if few and not again else cut_lineage(kept)
+
+
+def members_of(pairs: DataFrame, a: str, b: str, sets: DataFrame) -> DataFrame:
+    """The sets that are in a pair, if these are few enough to be told to all tasks; else all."""
+    wanted = cut_lineage(pairs.select(F.explode(F.array(a, b)).alias("rep_id")).distinct())
+    few = wanted.count() <= setting(pairs.sparkSession, BROADCAST_ROWS)
+    return sets.join(F.broadcast(wanted), "rep_id", "left_semi") if few else sets
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, tau: float = 0.8) -> DataFrame:
     """All pairs of different shingle sets with Jaccard similarity >= tau, exactly.
 
@@ -195,20 +224,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, tau: float = 0.8) -> DataFrame:
     |s| - ceil(tau |s|) + 1. Common passages are thus never compared on. The
     remaining hot shingles are split by `pairs_within`.
     """
-    sets = shingle_sets(docs, n)
-    distinct = sets.groupBy("set_id").agg(
-        F.min("doc_id").alias("rep_id"), F.first("shingles").alias("shingles")
-    ).drop("set_id")
-    distinct = cut_lineage(distinct.withColumn("size", F.size("shingles")))
+    _, distinct = representatives(docs, n)
+    distinct = distinct.withColumn("size", F.size("shingles"))
 
+    # Counting and choosing share one shuffle. Shingles of one set only come first in
+    # its order and cannot make a pair: they fill the prefix but need not be sorted or sent.
     exploded = distinct.select("rep_id", "size", F.explode("shingles").alias("shingle"))
-    shared = cut_lineage(
-        exploded.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    )
-    # Shingles of one set only come first in its order and cannot make a pair:
-    # they fill the prefix but need not be sorted or sent.
+    counted = exploded.withColumn("df", F.count("*").over(W.partitionBy("shingle")))
     ranked = (
-        exploded.join(checked_broadcast(shared), "shingle")
+        counted.filter("df > 1")
         .groupBy("rep_id", "size")
         .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
     )
@@ -220,14 +244,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, tau: float = 0.8) -> DataFrame:
         )
     )
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    candidates = (
+    candidates = cut_lineage(
         pairs_within(posted, ["shingle"], "doc")
         .filter(small >= large * F.lit(tau) - F.lit(1e-9))
         .select("doc_a", "doc_b")
         .distinct()
     )
-    a = distinct.select(F.col("rep_id").alias("doc_a"), F.col("shingles").alias("_a"))
-    b = distinct.select(F.col("rep_id").alias("doc_b"), F.col("shingles").alias("_b"))
+    held = members_of(candidates, "doc_a", "doc_b", distinct)
+    a = held.select(F.col("rep_id").alias("doc_a"), F.col("shingles").alias("_a"))
+    b = held.select(F.col("rep_id").alias("doc_b"), F.col("shingles").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
     jaccard = shared / (F.size("_a") + F.size("_b") - shared)
     return (
