@@ -15,6 +15,7 @@ give empty results; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.operators.corpus import shingle_sets
+from touchline.operators.corpus import members_of, representatives
 from touchline.operators.skew import checked_broadcast
 from touchline.session import cut_lineage
 
 BANDS, ROWS = 24, 5
-STEP = 4096  # shingles hashed together
+STEP = 256  # shingles hashed together: the matrix of all their hashes stays in the cache
 MEET = 16  # earlier sets of a name that a set without a link is compared with
 
 
+@lru_cache(maxsize=4)
 def _seeds(n: int) -> np.ndarray:
     return np.random.default_rng(20).integers(1, 1 << 63, size=n, dtype=np.uint64) | np.uint64(1)
 
@@ -41,14 +43,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _mixed_in_place(x: np.ndarray) -> np.ndarray:
+    """`_mixed`, with one matrix besides `x`."""
+    over = np.empty_like(x)
+    for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D), (33, 1)):
+        np.right_shift(x, np.uint64(shift), out=over)
+        np.bitwise_xor(x, over, out=x)
+        if factor > 1:
+            np.multiply(x, np.uint64(factor), out=x)
+    return x
+
+
 def band_names(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """The names of one set, as signed longs."""
     seeds = _seeds(bands * rows)
     least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
     values = shingles.astype("int64").view("uint64")
     for start in range(0, len(values), STEP):
-        part = _mixed(values[start : start + STEP, None] ^ seeds)
-        np.minimum(least, part.min(axis=0), out=least)
+        part = values[start : start + STEP, None] ^ seeds
+        np.minimum(least, _mixed_in_place(part).min(axis=0), out=least)
     names = np.arange(1, bands + 1, dtype=np.uint64)
     for column in least.reshape(bands, rows).T:
         names = _mixed(names * np.uint64(0x9E3779B97F4A7C15) + column)
@@ -68,15 +81,14 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def distinct_sets(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep_id) of every text with terms, and (rep_id, shingles) of every different set."""
-    sets = cut_lineage(shingle_sets(docs, n))
-    reps = sets.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"))
-    own = sets.select("doc_id", "set_id").distinct().join(checked_broadcast(reps), "set_id").select("doc_id", "rep_id")
-    first = sets.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.first("shingles").alias("shingles"))
-    return own, cut_lineage(first.select("rep_id", "shingles"))
+    own, sets = representatives(docs, n)
+    return own.distinct(), sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tau: float) -> DataFrame:
     """The pairs (late, early) that are similar enough, with their Jaccard similarity."""
+    pairs = cut_lineage(pairs)
+    sets = members_of(pairs, "late", "early", sets)
     sized = pairs.join(sets.select(F.col("rep_id").alias("late"), F.col("shingles").alias("_a")), "late")
     both = sized.join(sets.select(F.col("rep_id").alias("early"), F.col("shingles").alias("_b")), "early")
     shared = F.size(F.array_intersect("_a", "_b"))
