@@ -1,18 +1,20 @@
 """Hot groups give the same rows as the plain plans."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions.clock import DAY_US, micros
-from touchline.operators import corpus, form, graph, panel
+from touchline.operators import corpus, form, graph, panel, skew
 from touchline.operators.asof import asof_join
 from touchline.operators.imbalance import auc, smote, uplift_by_decile
 from touchline.operators.neighbours import nearest
 from touchline.operators.rows import team_rows
 from touchline.operators.skew import busy_instants, number_within, plan_chunks, totals_before
+from touchline.plans.features import build_features
 from touchline.sources.derived import contests, labelled_vectors, membership, ratings, table
 from touchline.sources.derived import panel as event_panel
 
@@ -258,3 +260,16 @@ def test_walks_follow_edges(spark, sf_dir, limits):
     for r in found:
         assert len(r["path"]) == 5
         assert all(step in ties for step in zip(r["path"], r["path"][1:], strict=False))
+
+
+def test_tasks_of_the_feature_table_are_not_merged(spark, sf_dir, monkeypatch):
+    """With more rows there are more tasks, not larger ones; the rows stay the same."""
+    m = contests(spark, sf_dir)
+    plain = build_features(m, ratings(m))
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    dealt = build_features(m, ratings(m))
+    parts = 2 * m.count() // 100
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    for keys in ("team", "_p1", "match_id"):
+        assert re.search(rf"hashpartitioning\({keys}#\w+(, _p2#\w+)?, {parts}\), REPARTITION_BY_NUM", plan), keys
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))

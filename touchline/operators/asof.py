@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.clock import DAY_US, micros
-from touchline.operators.skew import HALO, attach_instants, busy_instants, has_hot_groups, split_hot, with_halo
+from touchline.operators.skew import HALO, attach_instants, busy_instants, dealt, has_hot_groups, split_hot, with_halo
 
 _TS, _SIDE = "_us", "_side"
 
@@ -22,6 +22,7 @@ def asof_join(
     right_ts: str,
     grain: int = DAY_US,
     cold: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """Left rows with the columns of the last earlier right row of the same keys.
 
@@ -30,6 +31,7 @@ def asof_join(
     rows of the same time and so never sees them. Of right rows with an equal
     time the greatest one wins. Where very many rows of a key share an instant, the
     join is done on one row per key and instant, and its result is handed to them.
+    `parts` is the number of partitions of the window, if no key is hot.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
@@ -42,6 +44,7 @@ def asof_join(
     hot = not cold and has_hot_groups(both, keys)
     busy = busy_instants(both, keys, _TS) if hot else None
     if busy is None:
+        both = both if hot else dealt(both, keys, parts)
         return _last_earlier(both, keys, values, grain, not hot).select(*left.columns, *values)
     at = [*keys, _TS]
     best = rights.groupBy(*at).agg(F.max(F.struct(*values)).alias("_best")).select(*at, "_best.*")

@@ -20,6 +20,7 @@ from touchline.operators.skew import (
     HALO,
     attach_instants,
     busy_instants,
+    dealt,
     has_hot_groups,
     split_hot,
     with_halo,
@@ -183,7 +184,7 @@ def _counted_before(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def head_to_head(
-    m: DataFrame, n: int = 3, last_ts: str | None = None, cold: bool = False
+    m: DataFrame, n: int = 3, last_ts: str | None = None, cold: bool = False, parts: int | None = None
 ) -> DataFrame:
     """Record over the last n meetings of the pair, from the home side's view."""
     first = F.least("home_team", "away_team")
@@ -200,6 +201,7 @@ def head_to_head(
             "g2": F.when(is_first, F.col("away_goals")).otherwise(F.col("home_goals")),
         }
     )
+    pairs = dealt(pairs, ["_p1", "_p2"], parts if cold else None)
     rows = last_n(pairs, ["_p1", "_p2"], [n], ["pts1", "pts2", "g1", "g2"], prefix="h2h", last_ts=last_ts, cold=cold)
     mine = F.col("home_team") == F.col("_p1")
 
@@ -236,7 +238,9 @@ def promoted_flag(m: DataFrame) -> DataFrame:
     )
 
 
-def attach_sides(m: DataFrame, feats: DataFrame, columns: Sequence[str], diffs: Sequence[str] = ()) -> DataFrame:
+def attach_sides(
+    m: DataFrame, feats: DataFrame, columns: Sequence[str], diffs: Sequence[str] = (), parts: int | None = None
+) -> DataFrame:
     """Put home and away features on the match row, with differences.
 
     `feats` has one row per (match_id, side). The two rows of a match meet in
@@ -244,7 +248,7 @@ def attach_sides(m: DataFrame, feats: DataFrame, columns: Sequence[str], diffs:
     """
     sides = {"h": "H", "a": "A"}
     row = F.struct(*columns)
-    packed = feats.groupBy("match_id").agg(
+    packed = dealt(feats.select("match_id", "side", *columns), ["match_id"], parts).groupBy("match_id").agg(
         *[
             F.first(F.when(F.col("side") == code, row), ignorenulls=True).alias(f"_{s}")
             for s, code in sides.items()

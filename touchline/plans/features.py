@@ -14,7 +14,7 @@ from touchline.operators.form import (
     rolling_form,
 )
 from touchline.operators.rows import team_rows
-from touchline.operators.skew import checked_broadcast, has_hot_groups
+from touchline.operators.skew import checked_broadcast, has_hot_groups, task_parts
 
 SPANS = (5, 10)
 KINDS = ("points", "gf", "ga", "gd", "n_used")
@@ -34,12 +34,12 @@ def rated_matches(m: DataFrame, ratings: DataFrame) -> DataFrame:
     return attach_sides(m, rated, ["rating", "valid_from"], diffs=["rating"])
 
 
-def team_features(m: DataFrame, ratings: DataFrame, cold: bool = False) -> DataFrame:
+def team_features(m: DataFrame, ratings: DataFrame, cold: bool = False, parts: int | None = None) -> DataFrame:
     """Per (match, side). Without a hot team all windows share one shuffle on the team.
 
     Ratings are attached first, while the rows are still narrow.
     """
-    t = asof_join(team_rows(m), ratings, ["team"], "kickoff", "valid_from")
+    t = asof_join(team_rows(m), ratings, ["team"], "kickoff", "valid_from", parts=parts)
     t = rolling_form(t, SPANS, last_ts="last_played", cold=cold)
     t = rolling_form(t, SPANS, side="own", cold=cold)
     t = matchday(t, cold=cold)
@@ -52,10 +52,11 @@ def build_features(m: DataFrame, ratings: DataFrame) -> DataFrame:
     """Features of every match, with `max_src_ts`, the latest source time behind them."""
     # All windows are within a team, so one check of the teams serves them all.
     cold = not has_hot_groups(team_rows(m), ["team"])
-    feats = team_features(m, ratings, cold)
-    h2h = head_to_head(m, 3, last_ts="h2h_last", cold=cold)
+    parts = task_parts(2 * m.count())
+    feats = team_features(m, ratings, cold, parts)
+    h2h = head_to_head(m, 3, last_ts="h2h_last", cold=cold, parts=parts)
     wide = attach_sides(
-        h2h, feats, [*SIDE_COLUMNS, "last_played", "valid_from"], diffs=["rating"]
+        h2h, feats, [*SIDE_COLUMNS, "last_played", "valid_from"], diffs=["rating"], parts=parts
     )
     sources = ["last_played_h", "last_played_a", "valid_from_h", "valid_from_a", "h2h_last"]
     return wide.withColumn("max_src_ts", F.greatest(*sources)).drop(*sources)
