@@ -193,3 +193,36 @@ def test_scaled_round(spark):
     found = [r["y"] for r in df.collect()]
     assert found[:9] == [0.123456, 0.123457, 0.5, 3e-6, 0.0, -1.500001, None, float("inf"), 1e300]
     assert found[9] != found[9] and str(found[4]) == "0.0"
+
+
+def test_outcome_sums_are_worked_out_once(spark):
+    """No interpreted lambda, and a filter on a probability does not work the sums out again; rows
+    without a rate or a correction keep their other columns."""
+    rows = [(1, "a", 1.4, 1.1, -0.08), (2, None, None, 2.0, 0.05), (3, "c", 1.0, 1.0, None), (3, "c", 1.0, 1.0, 0.0)]
+    lam = spark.createDataFrame(rows, "match_id long, note string, lam double, mu double, rho double")
+    probs = goals.outcome_probs(lam)
+    assert probs.columns == [*lam.columns, "p_h", "p_d", "p_a"]
+    priced = probs.filter("p_h IS NOT NULL").withColumn("_twice", F.col("p_h") * F.col("p_h"))
+    plan = priced._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with(" not in plan and plan.count("MapInArrow") == 1
+    assert [(r["match_id"], r["note"]) for r in priced.orderBy("match_id").collect()] == [(1, "a"), (3, "c")]
+    found = sorted(map(tuple, probs.select("match_id", "note", F.isnull("p_h"), F.isnull("p_d"), F.isnull("p_a")).collect()), key=str)
+    assert found == sorted([(1, "a", *[False] * 3), (2, None, *[True] * 3), (3, "c", *[True] * 3), (3, "c", *[False] * 3)], key=str)
+    draw = [r for r in probs.collect() if r["rho"] == 0.0][0]
+    assert draw["p_h"] == pytest.approx(draw["p_a"]) and draw["p_h"] + draw["p_d"] + draw["p_a"] == pytest.approx(1)
+
+
+def test_rated_matches_are_read_once(spark):
+    """Fit and predictions share one pass over the rated matches."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(4)
+    rows = [(i, 2000 + i % 3, 1, int(rng.integers(3)), int(rng.integers(3)), float(rng.integers(-3, 4))) for i in range(300)]
+    rated = spark.createDataFrame(rows, "match_id long, season int, league long, home_goals long, away_goals long, rating_diff double")
+    found = ordinal.elo_ordered_logit(rated.mapInArrow(run, rated.schema), [2001, 2002]).collect()
+    assert len(found) == 200 and read.value == 300
