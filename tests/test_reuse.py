@@ -119,3 +119,35 @@ def test_band_names_do_not_depend_on_the_step():
     for column in least.reshape(reuse.BANDS, reuse.ROWS).T:
         names = reuse._mixed(names * np.uint64(0x9E3779B97F4A7C15) + column)
     assert (reuse.band_names(values) == names.view("int64")).all()
+
+
+def test_partners_behind_many_others_of_their_names(spark):
+    """Far texts hold all that the pair shares and precede it in every group of names."""
+    base = [f"a{i}" for i in range(100)]
+    rows = [(i, " ".join(base + [f"x{i}y{k}" for k in range(26)])) for i in range(800)]
+    rows += [(900, " ".join([*base, "one"])), (901, " ".join([*base, "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_a, x.doc_b) for x in corpus.near_duplicates(df).collect()} == {(900, 901)}
+    assert {x.doc_id for x in reuse.reuse_exists(df).filter("reusable").collect()} == {900, 901}
+    assert {x.family_id for x in reuse.families(df)[0].filter("doc_id >= 900").collect()} == {900}
+
+
+def test_links_that_no_name_gives(spark):
+    """Exact without any help from names: between families, of open sets, next to a large family."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for f in range(12):
+        base = r.choices(words, k=80)
+        rows += [(100 * f + k, " ".join([*base[: 80 - k % 3], *(r.choice(words) for _ in range(k % 3))])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, sets = reuse.distinct_sets(df, 5)
+    exact = {(x.doc_b, x.doc_a) for x in corpus.near_duplicates(df).collect()}
+    none = sets.select("rep_id", F.lit("r").alias("root")).limit(0)
+    assert len(exact) > 100 and {(x.late, x.early) for x in reuse.missed_links(sets, none).collect()} == exact
+    roots = sets.select("rep_id", (F.col("rep_id") % 3).cast("string").alias("root"))
+    found = {(x.late, x.early) for x in reuse.missed_links(sets, roots).collect()}
+    assert found == {(a, b) for a, b in exact if a % 3 != b % 3}
+    big = sets.select("rep_id", F.lit("r").alias("root")).filter("rep_id % 100 > 1")
+    found = {(x.late, x.early) for x in reuse.missed_links(sets, big).collect()}
+    assert found == {(a, b) for a, b in exact if a % 100 < 2 or b % 100 < 2}
