@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from html import unescape
@@ -543,6 +544,71 @@ def test_toxicity_learns_from_every_label(spark):
     assert found == {i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2}
 
 
+def brute_ratios(texts, s):
+    """Log ratio and part of every expression, from (text, toxic) rows."""
+    seen = {1: {}, 2: {}}
+    for text, toxic in texts:
+        words = toxicity.expressions(text)
+        for n, keys in ((1, set(words)), (2, set(zip(words, words[1:], strict=False)))):
+            for key in keys:
+                seen[n].setdefault(key, [0, 0])[1 - toxic] += 1
+    words, pairs = seen[1], seen[2]
+    sums = [sum(v[c] for v in words.values()) for c in (0, 1)]
+    once, twice = (sum(v[c] == k for v in words.values() for c in (0, 1)) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    back = d * sum(v[c] > 0 for v in words.values() for c in (0, 1)) / sum(sums)
+    out = {}
+
+    def rate(key, p, v, part):
+        ratio = math.log(p[0] / p[1])
+        gain = abs(ratio) * (v[0] if ratio > 0 else v[1] * sums[0] / sums[1])
+        out[key] = ratio, part + (abs(ratio) >= s.least_ratio and gain >= s.least_gain)
+
+    for w, v in words.items():
+        rate(w, [max(v[c] - d, 0) / sums[c] + back * sum(v) / sum(sums) for c in (0, 1)], v, 0)
+    for (a, b), v in pairs.items():
+        within = [sum(x[c] for (y, _), x in pairs.items() if y == a) for c in (0, 1)]
+        kinds = sum(y == a for y, _ in pairs)
+        both = (sum(v) - d + d * kinds * sum(words[b]) / sum(sums)) / sum(within)
+        rate(f"{a} {b}", [max(v[c] - d, 0) / within[c] + back * both if within[c] else both for c in (0, 1)], v, 2)
+    return out
+
+
+def test_toxicity_counts_every_expression(spark, limits):
+    """No expression is too rare or too mild, and texts add up all of theirs, wherever the model lies."""
+    r = random.Random(4)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    texts = [(i, " ".join(r.choices(words, weights=range(1, 27), k=12)) + (" bad stuff" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(90)]
+    texts[0] = (0, texts[0][1] + " solitary", 1)
+    train = spark.createDataFrame(texts, "doc_id long, text string, toxic int").withColumn("for_curve", F.lit(False))
+    s = toxicity.Settings()
+    expected = brute_ratios([x[1:] for x in texts], s)
+    known = toxicity.model(train, s)
+    names = spark.createDataFrame([(k,) for k in expected], "name string").withColumn("key", F.xxhash64("name"))
+    found = {x.name: (x.ratio / toxicity.UNIT, x.part) for x in known.join(names, "key", "left").collect()}
+    assert found.keys() == expected.keys() and {k for _, k in found.values()} == {0, 1, 2, 3}
+    assert all(found[k][0] == pytest.approx(v[0], abs=1e-7) and found[k][1] == v[1] for k, v in expected.items())
+    rows = [(1, "wa Solitary wa wb"), (1, "wa Solitary wa wb"), (1, "bad stuff"), (None, "unknown"), (2, None)]
+    asked = spark.createDataFrame(rows, "doc_id long, text string")
+    sums = {}
+    for limit in (200_000, 1):
+        limits(BROADCAST_ROWS=limit)
+        named = asked.select("text", toxicity.row()).distinct().join(toxicity.sums_of(asked, known, s.length_power), "row")
+        sums[limit] = {x.text: x for x in named.drop("row").collect()}
+    assert sums[1] == sums[200_000] and sums[1].keys() == {"wa Solitary wa wb", "bad stuff", "unknown"}
+    for text, x in sums[1].items():
+        own = toxicity.expressions(text)
+        keys = own + [" ".join(p) for p in zip(own, own[1:], strict=False)]
+        whole = [sum(expected[k][0] for k in keys if k in expected and expected[k][1] == part) for part in range(toxicity.PARTS)]
+        assert x.n_expressions == len(own)
+        assert [x[f"x{k}"] for k in range(toxicity.PARTS)] == pytest.approx([v / len(own) ** 0.5 for v in whole], abs=1e-6)
+
+
+def test_toxicity_of_few_labels_tells_texts_apart(spark, sf_dir):
+    scores = {r.score for r in queries.QUERIES["op10_toxicity"](spark, sf_dir).collect()}
+    assert len(scores) > 100
+
+
 # ---- pipeline ---------------------------------------------------------------
 
 
