@@ -393,6 +393,41 @@ def test_passages_behind_a_shorter_template(spark, turn, monkeypatch):
     assert found == {(i + 2, i + 1) for i in range(0, len(rows), 3)}
 
 
+def test_prints_lose_no_passage():
+    """Whatever `verified` accepts has the hits that `plausible` asks for."""
+    rng = np.random.default_rng(21)
+    s = substring_dedup.Settings()
+    total, within = substring_dedup.least_hits(s)
+    accepted = 0
+    for _ in range(4000):
+        n = int(rng.integers(s.least, 260))
+        source = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        own = source.copy()
+        for _ in range(int(rng.integers(0, 14))):
+            a = int(rng.integers(0, n))
+            own[a : a + int(rng.integers(1, 16))] = rng.integers(0, 1 << 62)
+        if substring_dedup.verified(own, source, s):
+            accepted += 1
+            hit = np.isin(own, source)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            assert hit.sum() >= total and (sums[s.least :] - sums[: -s.least]).max() >= within
+    assert accepted > 500
+
+
+def test_ranges_that_share_a_phrase_never_move_their_words(spark):
+    rng = np.random.default_rng(22)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase, passage = text(25), text(60)
+    rows = [(i, " ".join([*text(60), *phrase, *text(60)])) for i in range(6)]
+    rows += [(10 + i, " ".join([*text(30), *passage[:30], f"x{i}", *passage[31:], *text(30)])) for i in range(2)]
+    rows += [(11, "another short text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = [(a, b, 0, 140, 0, 140) for a in range(6) for b in range(a)] + [(11, 10, 5, 110, 5, 110)]
+    ranges = spark.createDataFrame(asked, "doc_id long, source long, lo int, hi int, source_lo int, source_hi int")
+    found = substring_dedup.plausible(docs, ranges, substring_dedup.Settings())
+    assert [tuple(r) for r in found.collect()] == [asked[-1]] and found.columns == ranges.columns
+
+
 def test_chains_of_near_copies(spark):
     rng = np.random.default_rng(13)
     words = [f"w{x}" for x in rng.integers(0, 1 << 40, 60)]
